@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from seqspark.llm.quality_rules import quality_rules
 from seqspark.llm.token_counts import token_counts
+from seqspark.llm.url_filters import url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,3 +24,65 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_token_counts"] = op1_token_counts
+
+
+#: The rules of the query, as (host, path, verdict).
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter(_table(spark, sf_dir, "pages"), listed)
+
+
+QUERIES["op9_url_filters"] = op9_url_filters
+_rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+ORACLE["op9_url_filters"] = f"""
+WITH rules(rh, rp, rv) AS (VALUES {_rules}),
+p AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    row_number() OVER () AS rid
+  FROM pages),
+m AS (
+  SELECT rid, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS verdict
+  FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY rid)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (rid)
+"""
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_quality_rules"] = op10_quality_rules
+ORACLE["op10_quality_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT rid, doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM d),
+win AS (SELECT rid, i, ws[i:i+2] AS g FROM (SELECT rid, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w WHERE len(ws) >= 3)),
+dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c >= 2),
+cov AS (SELECT rid, count(DISTINCT i + k) AS n FROM dup, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid),
+nl AS (
+  SELECT rid, source, list_transform(ls, lambda x: translate(regexp_replace(regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ns
+  FROM w WHERE len(ls) > 0),
+held AS (SELECT DISTINCT coalesce('=' || source, '') AS host, list_min(ns) AS doc, unnest(ns) AS line FROM nl),
+hosts AS (SELECT host, count(DISTINCT doc) AS docs FROM held GROUP BY host),
+bad AS (SELECT host, line FROM held JOIN hosts USING (host) GROUP BY host, line, docs HAVING count(*) > 20 AND count(*) > 0.1 * docs),
+lost AS (
+  SELECT rid, sum(len(string_split(line, ' '))) AS n
+  FROM (SELECT rid, coalesce('=' || source, '') AS host, unnest(ns) AS line FROM nl) JOIN bad USING (host, line) GROUP BY rid),
+b AS (
+  SELECT rid, doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+    coalesce(cov.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN cov USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(lost.n, 0) <= 0.5 * n_words AS kept
+FROM b LEFT JOIN lost USING (rid)
+"""
