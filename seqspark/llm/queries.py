@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from seqspark.llm.ngram_join import ngram_jaccard_components
 from seqspark.llm.quality_rules import quality_rules
 from seqspark.llm.token_counts import token_counts
 from seqspark.llm.url_filters import url_filter
@@ -86,3 +87,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(lost.n, 0) <= 0.5 * n_words AS kept
 FROM b LEFT JOIN lost USING (rid)
 """
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_components(_table(spark, sf_dir, "documents"), size=3, num=9, den=10)
+
+
+QUERIES["op2_ngram_jaccard"] = op2_ngram_jaccard
