@@ -70,7 +70,7 @@ def powers(base: int, n: int) -> np.ndarray:
     have = 1
     while have < n:
         more = min(have, n - have)
-        step = out[have - 1] * b
+        step = out[have - 1 : have] * b
         out[have : have + more] = out[:more] * step
         have += more
     return out

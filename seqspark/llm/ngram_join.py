@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from seqspark.llm.common import materialize, mix64
 from seqspark.llm.graph import components
+from seqspark.llm.words import hashed
 
 SKETCH_BITS, BLOCK_BITS = 21, 16
 GROUP_SHINGLES = 1 << 21
@@ -50,19 +51,15 @@ COMBINED = 1 << 20
 MU = 0.0085
 
 
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """The distinct 64-bit hashes, sorted, of the text's word n-grams (A-Z lower-cased words)."""
-    from xxhash import xxh3_64_intdigest as digest
-
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def shingles(words: np.ndarray, size: int) -> np.ndarray:
+    """The distinct 64-bit hashes, sorted, of the n-grams of a text, given by its words' hashes."""
     n = len(words)
     if n == 0:
-        return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(digest, words), dtype=np.uint64, count=n)
+        return words
     width = min(n, size)
-    out = mix64(h[: n - width + 1] + np.uint64(width))
+    out = mix64(words[: n - width + 1] + np.uint64(width))
     for k in range(1, width):
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[k : n - width + 1 + k])
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + words[k : n - width + 1 + k])
     return np.unique(out)
 
 
@@ -179,8 +176,8 @@ def _survey(df: DataFrame, size: int) -> DataFrame:
 
         for b in batches:
             n, s = [], []
-            for text in b.column(1):
-                x = shingles(text.as_py(), size)
+            for words in hashed(b.column(1), lower=True):
+                x = shingles(words, size)
                 n.append(len(x))
                 s.append(xxh3_128_digest(x.tobytes()))
                 held.append(x)
@@ -244,8 +241,8 @@ def _prefixes(df: DataFrame, size: int, num: int, den: int, levels) -> DataFrame
             owners.clear()
 
         for b in batches:
-            for text in b.column(0):
-                x = shingles(text.as_py(), size)
+            for words in hashed(b.column(0), lower=True):
+                x = shingles(words, size)
                 if len(x) == 0:
                     continue
                 key = int.from_bytes(xxh3_128_digest(x.tobytes())[:8], "little", signed=True)
@@ -278,13 +275,13 @@ def _grouped_links(members: DataFrame, keys: list[str], size: int, num: int, den
 
         for b in batches:
             cols = [b.column(k).to_pylist() for k in keys]
-            for *key, doc, label, text in zip(*cols, b.column("doc_id").to_pylist(), b.column("label").to_pylist(), b.column("text"), strict=True):
+            for *key, doc, label, words in zip(*cols, b.column("doc_id").to_pylist(), b.column("label").to_pylist(), hashed(b.column("text"), lower=True), strict=True):
                 if key != now:
                     if len(ids) > 1:
                         yield linked()
                     now, ids, sets, labels = key, [], [], []
                 ids.append(doc)
-                sets.append(shingles(text.as_py(), size))
+                sets.append(shingles(words, size))
                 labels.append(label)
         if len(ids) > 1:
             yield linked()
