@@ -83,7 +83,7 @@ def packed(batches: Iterator[pa.RecordBatch], keys_of: Callable[[pa.RecordBatch]
         spans = [slice(cut[k], cut[k + 1]) for k in full]
         none = pa.nulls(len(full), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(full, pa.int32()), pa.array([planes(h[s]) for s in spans], pa.binary()), pa.array([planes(h2[s]) if two else b"" for s in spans], pa.binary()), pa.array([planes(o[s]) for s in spans], pa.binary()), pa.array([np.packbits(many[s]).tobytes() for s in spans], pa.binary()), none, none.cast(pa.binary())],
+            [pa.array(full, pa.int32()), pa.array([planes(h[s]) for s in spans], pa.binary()), pa.array([planes(h2[s]) if two else b"" for s in spans], pa.binary()), pa.array([planes(o[s]) for s in spans], pa.binary()), pa.array([np.packbits(many[s]).tobytes() for s in spans], pa.binary()), none, pa.nulls(len(full), pa.binary())],
             names=["bucket", "h", "h2", "o", "many", "owner", "keys"],
         )
 

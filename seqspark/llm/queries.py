@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seqspark.llm.ngram_join import ngram_jaccard_components
 from seqspark.llm.quality_rules import quality_rules
+from seqspark.llm.substring_dedup import word_window_dedup
 from seqspark.llm.token_counts import token_counts
 from seqspark.llm.url_filters import url_filter
 
@@ -94,3 +95,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_ngram_jaccard"] = op2_ngram_jaccard
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_window_dedup(_table(spark, sf_dir, "documents"), window=35)
+
+
+QUERIES["op4_substring_dedup"] = op4_substring_dedup
