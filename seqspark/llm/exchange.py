@@ -64,7 +64,7 @@ def packed(batches: Iterator[pa.RecordBatch], keys_of: Callable[[pa.RecordBatch]
         h2 = np.concatenate([k for _, _, k in held]) if two else np.zeros(len(h), np.uint32)
         o = np.repeat(np.array([x for x, _, _ in held], np.int64), [len(k) for _, k, _ in held])
         held.clear()
-        by = np.lexsort((o, h2, h)) if two or not within else np.argsort(h, kind="stable")
+        by = np.lexsort((h2, h)) if two else np.argsort(h, kind="stable") if within else np.lexsort((o, h))
         h, h2, o = h[by], h2[by], o[by]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
@@ -102,8 +102,11 @@ def packed(batches: Iterator[pa.RecordBatch], keys_of: Callable[[pa.RecordBatch]
 PACKED = "bucket int, h binary, h2 binary, o binary, many binary, owner long, keys binary"
 
 
-def repeated(rows: DataFrame, partitions: int) -> DataFrame:
-    """(owner, keys): of each owner the keys that occur elsewhere too; several rows for an owner. ``rows`` come from ``packed``."""
+def repeated(rows: DataFrame, partitions: int, within: bool = True) -> DataFrame:
+    """(owner, keys): of each owner the keys that occur elsewhere too; several rows for an owner.
+
+    ``rows`` come from ``packed``. Without ``within`` only another owner counts as elsewhere.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
@@ -113,13 +116,13 @@ def repeated(rows: DataFrame, partitions: int) -> DataFrame:
             h2 = np.concatenate([p[1] for p in parts])
             o = np.concatenate([p[2] for p in parts])
             many = np.concatenate([p[3] for p in parts])
-            by = np.lexsort((h2, h)) if h2.any() else np.argsort(h, kind="stable")
+            by = np.lexsort((h2, h)) if within and h2.any() else np.argsort(h, kind="stable") if within else np.lexsort((o, h2, h))
             h, h2, o, many = h[by], h2[by], o[by], many[by]
             same = (h[1:] == h[:-1]) & (h2[1:] == h2[:-1])
-            twice = np.zeros(len(h), bool)
-            twice[1:] |= same
-            twice[:-1] |= same
-            twice &= ~many  # those have their reply already
+            heads = np.concatenate(([0], np.flatnonzero(~same) + 1))
+            size = np.diff(np.append(heads, len(h)))
+            again = size > 1 if within else (o[heads] != o[heads + size - 1]) | np.logical_or.reduceat(many, heads)
+            twice = np.repeat(again, size) & ~many  # the others have their reply already
             who, what = replies(o[twice], h[twice])
             return pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(what, pa.binary())], names=["owner", "keys"])
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from seqspark.llm.ngram_join import ngram_jaccard_components
 from seqspark.llm.quality_rules import quality_rules
 from seqspark.llm.substring_dedup import word_window_dedup
+from seqspark.llm.suffix_dedup import suffix_dedup
 from seqspark.llm.token_counts import token_counts
 from seqspark.llm.url_filters import url_filter
 
@@ -102,3 +103,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_substring_dedup"] = op4_substring_dedup
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_suffix_dedup"] = op8_suffix_dedup
