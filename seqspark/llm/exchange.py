@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +76,7 @@ def packed(batches: Iterator[pa.RecordBatch], keys_of: Callable[[pa.RecordBatch]
         again = many[group]
         who, what = replies(o[again], h[again])
         none = pa.nulls(len(who), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(who), pa.int32()), none, none, none, none, pa.array(who, pa.int64()), pa.array(what, pa.binary())], names=["bucket", "h", "h2", "o", "many", "owner", "keys"])
+        yield pa.RecordBatch.from_arrays([pa.array([o & (buckets - 1) for o in who], pa.int32()), none, none, none, none, pa.array(who, pa.int64()), pa.array(what, pa.binary())], names=["bucket", "h", "h2", "o", "many", "owner", "keys"])
         h, h2, o = h[heads], h2[heads], o[heads]
         b = (h >> shift).astype(np.int64)
         cut = np.searchsorted(b, np.arange(buckets + 1))
@@ -127,6 +128,10 @@ def repeated(rows: DataFrame, partitions: int, within: bool = True) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(what, pa.binary())], names=["owner", "keys"])
 
         for b in batches:
+            settled = b.column("owner").is_valid()
+            done = b.filter(settled)
+            yield pa.RecordBatch.from_arrays([done.column("owner"), done.column("keys")], names=["owner", "keys"])
+            b = b.filter(pa.compute.invert(settled))
             for bucket, h, h2, o, many in zip(*[b.column(k).to_pylist() for k in range(5)], strict=True):
                 if bucket != now:
                     if parts:
@@ -137,8 +142,8 @@ def repeated(rows: DataFrame, partitions: int, within: bool = True) -> DataFrame
         if parts:
             yield solve()
 
-    shipped = rows.where("bucket is not null").select("bucket", "h", "h2", "o", "many").repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return shipped.mapInArrow(run, REPLY).union(rows.where("owner is not null").select("owner", "keys"))
+    # what the map side has settled passes through, so that the rows are made once
+    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, REPLY)
 
 
 def by_owner(rows: DataFrame) -> DataFrame:

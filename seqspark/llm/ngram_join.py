@@ -10,8 +10,9 @@ Which sets meet in one index is found the same way, with L = T - 1: only the
 ``n - T + 1`` rarest tokens of a set are merged, and sets that share none of
 them cannot reach T. Rare is by a count sketch of all tokens (a fixed 2**21
 counters; any common order is right, a good one keeps frequent passages out).
-Tokens that several sets hold chain these sets into candidate groups. Within a
-group all links come from the index; sets that are already connected are not
+Sets in one token's list are chained into candidate groups where their
+histograms of leading token bytes, which bound the overlap from above, let them
+reach T (lists longer than 64 are chained unseen). Within a group all links come from the index; sets that are already connected are not
 compared again, so a group of k copies costs about k comparisons, not k**2.
 
 Scale. Texts shuffle once, and only to fetch the candidates. Equal sets fold
@@ -47,6 +48,8 @@ SKETCH_BITS, BLOCK_BITS = 21, 16
 GROUP_SHINGLES = 1 << 21
 #: Prefix tokens that a map task combines at a time.
 COMBINED = 1 << 20
+#: Longer lists of sets with a common token are joined unseen; shorter ones are pruned first.
+LISTED = 64
 #: DivideSkip's weight of a merge step against a probe.
 MU = 0.0085
 
@@ -63,6 +66,12 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(out)
 
 
+def histogram(tokens: np.ndarray) -> bytes:
+    """How many tokens have each leading byte: two sets share no more than the sum of the smaller counts."""
+    counts = np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=256)
+    return counts.astype("<u4" if len(tokens) > 65535 else "<u2").tobytes()
+
+
 def least_overlap(n: int, num: int, den: int) -> int:
     """Tokens that a set of ``n`` must share with any set of similarity num / den."""
     return -(-n * num // den)
@@ -175,10 +184,11 @@ def _survey(df: DataFrame, size: int) -> DataFrame:
             held, n_held = [], 0
 
         for b in batches:
-            n, s = [], []
+            n, s, hist = [], [], []
             for words in hashed(b.column(1), lower=True):
                 x = shingles(words, size)
                 n.append(len(x))
+                hist.append(histogram(x))
                 s.append(xxh3_128_digest(x.tobytes()))
                 held.append(x)
                 n_held += len(x)
@@ -186,15 +196,15 @@ def _survey(df: DataFrame, size: int) -> DataFrame:
                     add()
             halves = np.frombuffer(b"".join(s), dtype="<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "s1", "s2", "block", "counts"]
+                [b.column(0), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(hist, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "s1", "s2", "hist", "block", "counts"]
             )
         add()
         k = [k for k in range(1 << (SKETCH_BITS - BLOCK_BITS)) if counts[k << BLOCK_BITS : (k + 1) << BLOCK_BITS].any()]
         packed = [zlib.compress(counts[i << BLOCK_BITS : (i + 1) << BLOCK_BITS].astype("<u4").tobytes(), 1) for i in k]
         none = pa.nulls(len(k), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(k, pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "n", "s1", "s2", "block", "counts"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(k), pa.binary()), pa.array(k, pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "n", "s1", "s2", "hist", "block", "counts"])
 
-    return df.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, block int, counts binary")
+    return df.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, hist binary, block int, counts binary")
 
 
 def _levels(survey: DataFrame) -> np.ndarray:
@@ -232,11 +242,15 @@ def _prefixes(df: DataFrame, size: int, num: int, den: int, levels) -> DataFrame
             t, o = t[by], o[by]
             new = np.ones(len(t), dtype=bool)
             new[1:] = t[1:] != t[:-1]
-            head = o[np.maximum.accumulate(np.where(new, np.arange(len(t)), 0))]
-            pairs = np.unique(np.stack([head[~new], o[~new]], axis=1), axis=0)
-            none = pa.nulls(int(new.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([_signed(t[new]), pa.array(o[new]), none], names=["token", "s1", "other"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["token", "s1", "other"])
+            heads = np.flatnonzero(new)
+            count = np.diff(np.append(heads, len(t)))
+            hot = np.repeat(count > LISTED, count)
+            stay = new | ~hot
+            head = np.repeat(o[heads], count)
+            pairs = np.unique(np.stack([head[~stay], o[~stay]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([_signed(t[stay]), pa.array(o[stay]), pa.nulls(int(stay.sum()), pa.int64()), pa.array(hot[stay])], names=["token", "s1", "other", "hot"])
+            none = pa.nulls(len(pairs), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none.cast(pa.bool_())], names=["token", "s1", "other", "hot"])
             tokens.clear()
             owners.clear()
 
@@ -260,7 +274,49 @@ def _prefixes(df: DataFrame, size: int, num: int, den: int, levels) -> DataFrame
                     yield from combined()
         yield from combined()
 
-    return df.mapInArrow(run, "token long, s1 long, other long")
+    return df.mapInArrow(run, "token long, s1 long, other long, hot boolean")
+
+
+def _pruned(lists: DataFrame, sets: DataFrame, num: int, den: int, partitions: int) -> DataFrame:
+    """(s1, other): spanning links of the sets in each list whose histograms let them reach the similarity, directly or through others of the list."""
+    members = materialize(lists.select(F.xxhash64("list").alias("id"), F.explode("list").alias("m")), "lists")
+    need = members.select(F.col("m").alias("s1")).distinct()
+    facts = sets.join(need, "s1", "left_semi").dropDuplicates(["s1", "s2"]).select("s1", "n", "hist")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, sizes, hists = None, [], [], []
+        out: list[tuple[int, int]] = []
+
+        def spanning() -> None:
+            h = np.stack([np.frombuffer(x, "<u2" if len(x) == 512 else "<u4").astype(np.int64) for x in hists])
+            n, rest = np.array(sizes), np.arange(len(ids))
+            while len(rest) > 1:
+                edge, rest = [rest[0]], rest[1:]
+                while edge and len(rest):
+                    f = edge.pop()
+                    near = (num + den) * np.minimum(h[rest], h[f]).sum(axis=1) >= num * (n[rest] + n[f])
+                    out.extend((ids[f], ids[k]) for k in rest[near])
+                    edge.extend(rest[near])
+                    rest = rest[~near]
+
+        for b in batches:
+            for key, m, n, hist in zip(*[b.column(k).to_pylist() for k in range(4)], strict=True):
+                if key != now:
+                    if len(ids) > 1:
+                        spanning()
+                    now, ids, sizes, hists = key, [], [], []
+                ids.append(m)
+                sizes.append(n)
+                hists.append(hist)
+            pairs = list(dict.fromkeys(out))
+            out.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["s1", "other"])
+        if len(ids) > 1:
+            spanning()
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["s1", "other"])
+
+    rows = members.join(facts, F.col("m") == F.col("s1")).select("id", "m", "n", "hist")
+    return rows.repartition(partitions, "id").sortWithinPartitions("id").mapInArrow(run, "s1 long, other long")
 
 
 def _grouped_links(members: DataFrame, keys: list[str], size: int, num: int, den: int, partitions: int) -> DataFrame:
@@ -300,9 +356,14 @@ def ngram_jaccard_components(df: DataFrame, size: int = 5, num: int = 4, den: in
     levels = spark.sparkContext.broadcast(_levels(survey))
     rows = materialize(_prefixes(docs.select("text"), size, num, den, levels), "prefixes")
 
-    least = F.min("s1").over(Window.partitionBy("token"))
-    stars = rows.where("token is not null").select("s1", least.alias("other")).where("s1 <> other")
-    groups = components(rows.where("token is null").select("s1", "other").union(stars), "s1", "other")
+    by_token = Window.partitionBy("token")
+    shared = rows.where("token is not null").select("token", "s1", F.min("s1").over(by_token).alias("other"), F.count("*").over(by_token).alias("c"), F.max("hot").over(by_token).alias("hot")).where("c > 1")
+    shared = materialize(shared, "shared")
+    long_ = (F.col("c") > LISTED) | F.col("hot")
+    lists = shared.where(~long_).groupBy("token").agg(F.array_sort(F.collect_set("s1")).alias("list")).where(F.size("list") > 1).select("list").distinct()
+    near = _pruned(lists, survey.where("block is null"), num, den, partitions)
+    stars = shared.where(long_ & (F.col("s1") != F.col("other"))).select("s1", "other")
+    groups = components(rows.where("token is null").select("s1", "other").union(stars).union(near), "s1", "other")
 
     # a class of equal sets stands by its smallest id
     classes = materialize(sets.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from seqspark.llm import exchange as x
 from seqspark.llm.common import materialize, mix64, powers
-from seqspark.llm.words import hash_words, slices
+from seqspark.llm.words import hash_words, hashed, slices
 
 #: A difference cover modulo 21 (a perfect difference set).
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
@@ -110,46 +110,34 @@ def word_window_dedup(df: DataFrame, window: int = 35, id_col: str = "doc_id", t
     partitions, buckets = int(spark.conf.get("spark.sql.shuffle.partitions")), x.buckets_for(spark)
     docs = with_class(df, id_col, text_col)
 
-    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        facts: list[pa.RecordBatch] = []
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts, digests, whole = [], [], []
+            for text in b.column("text").cast(pa.large_binary()).to_pylist():
+                words = text.split()  # of bytes: at 0x20 and 0x09-0x0D
+                kept = b" ".join(words)
+                counts.append(len(words))
+                digests.append(hashlib.sha256(kept).hexdigest())
+                whole.append(kept.decode() if kept_text else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t1"), b.column("t2"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(whole, pa.string())], names=["doc_id", "t1", "t2", "n_words", "sha", "whole"])
+
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
 
         def keys_of(b: pa.RecordBatch):
-            owners, twos = b.column("t1").to_pylist(), b.column("t2").to_pylist()
-            k, counts, digests, whole = 0, [], [], []
-            for texts in slices(b.column("text")):
-                h, first, begin, end, data = hash_words(texts)
-                for d in range(len(texts)):
-                    words = h[first[d] : first[d + 1]]
-                    kept = b" ".join(texts[d].split())
-                    counts.append(len(words))
-                    digests.append(hashlib.sha256(kept).hexdigest())
-                    whole.append(kept.decode() if kept_text else None)
-                    key = owners[k], twos[k]
-                    if key not in seen:
-                        if len(seen) >= 1_000_000:
-                            seen.clear()
-                        seen.add(key)
-                        yield owners[k], anchors(words, window)[0], None
-                    k += 1
-            facts.append(pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t1"), b.column("t2"), pa.array(counts, pa.int64()), pa.array(digests), pa.array(whole, pa.string())], names=["doc_id", "t1", "t2", "n_words", "sha", "whole"]))
-
-        fact_names, key_names = ["doc_id", "t1", "t2", "n_words", "sha", "whole"], ["bucket", "h", "h2", "o", "many", "owner", "keys"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()], [pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.binary()]
+            owners, k = b.column("t1").to_pylist(), 0
+            for words in hashed(b.column("text")):
+                if owners[k] not in seen:
+                    if len(seen) >= 1_000_000:
+                        seen.clear()
+                    seen.add(owners[k])
+                    yield owners[k], anchors(words, window)[0], None
+                k += 1
 
-        def drained() -> Iterator[pa.RecordBatch]:
-            for f in facts:
-                yield pa.RecordBatch.from_arrays([*f.columns, *[pa.nulls(f.num_rows, t) for t in kinds[1]]], names=fact_names + key_names)
-            facts.clear()
-
-        for r in x.packed(batches, keys_of, buckets, within=True):
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(r.num_rows, t) for t in kinds[0]], *r.columns], names=fact_names + key_names)
-            yield from drained()
-        yield from drained()
+        yield from x.packed(batches, keys_of, buckets, within=True)
 
-    facts_and_keys = materialize(docs.mapInArrow(survey, "doc_id long, t1 long, t2 long, n_words long, sha string, whole string, " + x.PACKED), "survey")
-    facts = facts_and_keys.where("t1 is not null").select("doc_id", "t1", "t2", "n_words", "sha", "whole")
-    replies = x.repeated(facts_and_keys.where("t1 is null").select("bucket", "h", "h2", "o", "many", "owner", "keys"), partitions)
+    facts = materialize(docs.select("doc_id", "text", "t1", "t2").mapInArrow(measure, "doc_id long, t1 long, t2 long, n_words long, sha string, whole string"), "facts")
+    replies = x.repeated(docs.select("t1", "text").mapInArrow(anchored, x.PACKED), partitions)
     classes = facts.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     cand = candidates(docs, replies, classes)
 
@@ -167,7 +155,7 @@ def word_window_dedup(df: DataFrame, window: int = 35, id_col: str = "doc_id", t
 
         yield from x.packed(batches, keys_of, buckets, within=True)
 
-    found = x.by_owner(x.repeated(materialize(cand.mapInArrow(whole_windows, x.PACKED), "windows"), partitions)).withColumnRenamed("owner", "_o").withColumnRenamed("keys", "found")
+    found = x.by_owner(x.repeated(cand.mapInArrow(whole_windows, x.PACKED), partitions)).withColumnRenamed("owner", "_o").withColumnRenamed("keys", "found")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

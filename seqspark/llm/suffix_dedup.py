@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -219,7 +220,7 @@ def _segments(cand: DataFrame, buckets: int) -> DataFrame:
             later = by[doc[by] > first]
             who, what = _spans(owner[later], start[later], start[later] + size[later] - WIDTH)
             n, none = len(who), pa.nulls(len(who), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), *[none] * 6, pa.array(who, pa.int64()), pa.array(what, pa.binary())], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array([o & (buckets - 1) for o in who], pa.int32()), *[none] * 6, pa.array(who, pa.int64()), pa.array(what, pa.binary())], names=_NAMES)
             stay = np.setdiff1d(np.arange(len(by)), later)
             b = (key[stay] >> shift).astype(np.int64)
             stay, b = stay[np.argsort(b, kind="stable")], np.sort(b)
@@ -310,6 +311,10 @@ def _sorted_out(rows: DataFrame, partitions: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(what, pa.binary())], names=["owner", "keys"])
 
         for b in batches:
+            settled = b.column("settled_owner").is_valid()
+            done = b.filter(settled)
+            yield pa.RecordBatch.from_arrays([done.column("settled_owner"), done.column("settled")], names=["owner", "keys"])
+            b = b.filter(pa.compute.invert(settled))
             for bucket, *part in zip(*[b.column(k).to_pylist() for k in range(7)], strict=True):
                 if bucket != now:
                     if parts:
@@ -319,8 +324,7 @@ def _sorted_out(rows: DataFrame, partitions: int) -> DataFrame:
         if parts:
             yield solve()
 
-    sent = rows.where("bucket is not null").select(*_NAMES[:7]).repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return sent.mapInArrow(run, x.REPLY).union(rows.where("settled_owner is not null").select(F.col("settled_owner").alias("owner"), F.col("settled").alias("keys")))
+    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, x.REPLY)
 
 
 def cut_out(text: bytes, spans: list[bytes]) -> tuple[int, int, bytes]:
@@ -367,10 +371,10 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         yield from x.packed(batches, keys_of, buckets, within=False)
 
     facts = docs.select("doc_id", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), *([F.col("text").alias("whole")] if kept_text else []))
-    replies = x.repeated(materialize(docs.select("t1", "text").mapInArrow(fingerprints, x.PACKED), "minimisers"), partitions, within=False)
+    replies = x.repeated(docs.select("t1", "text").mapInArrow(fingerprints, x.PACKED), partitions, within=False)
     classes = docs.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"))
     cand = candidates(docs, replies, classes)
-    spans = x.by_owner(_sorted_out(materialize(_segments(cand, buckets), "segments"), partitions)).withColumnRenamed("owner", "_o").withColumnRenamed("keys", "spans")
+    spans = x.by_owner(_sorted_out(_segments(cand, buckets), partitions)).withColumnRenamed("owner", "_o").withColumnRenamed("keys", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
