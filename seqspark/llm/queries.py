@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from seqspark.llm.common import shared_dir
 from seqspark.llm.ngram_join import ngram_jaccard_components
 from seqspark.llm.quality_rules import quality_rules
 from seqspark.llm.substring_dedup import word_window_dedup
 from seqspark.llm.suffix_dedup import suffix_dedup
 from seqspark.llm.token_counts import token_counts
+from seqspark.llm.token_store import read_store, write_store
 from seqspark.llm.url_filters import url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +113,12 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_suffix_dedup"] = op8_suffix_dedup
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    write_store(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return read_store(spark, path)
+
+
+QUERIES["op5_token_store"] = op5_token_store

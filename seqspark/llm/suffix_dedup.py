@@ -50,6 +50,8 @@ PERIOD, COVER = 16, (0, 1, 2, 5, 8)
 PAD = 48
 #: Suffixes sorted at a time.
 BLOCK = 1 << 21
+#: Bytes of segments that a map task combines at a time.
+HELD = 1 << 22
 #: Exchanged minimisers keep 48 bits: a filter, not a verdict.
 MASK = np.uint64(0xFFFFFFFFFFFF0000)
 
@@ -71,7 +73,7 @@ def dense(*keys: np.ndarray) -> np.ndarray:
     for k in keys:
         s = k[by]
         new[1:] |= s[1:] != s[:-1]
-    out = np.empty(len(by), np.int64)
+    out = np.empty(len(by), np.int32)
     out[by] = np.cumsum(new) + 1
     return out
 
@@ -81,7 +83,7 @@ def cover_ranks(text: np.ndarray, words: np.ndarray) -> np.ndarray:
     n = len(words) - 8
     at = (np.arange(0, n, PERIOD)[:, None] + np.array(COVER)[None, :]).ravel()
     at = at[at < n]
-    rank = np.zeros(len(text) + 64, np.int64)
+    rank = np.zeros(len(text) + 64, np.int32)
     rank[at] = dense(words[at], words[at + 8])  # 16 bytes
     rank[at] = dense(rank[at], rank[at + 16])  # 32
     rank[at] = dense(rank[at], rank[at + 32])  # 64
@@ -262,7 +264,7 @@ def _segments(cand: DataFrame, buckets: int) -> DataFrame:
                             take = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
                             held.append((np.int64(docs[k]), np.int64(owners[k]), first.astype(np.int64), size.astype(np.int64), ((place - first) % PERIOD).astype(np.uint8), value, ident, np.frombuffer(data, np.uint8)[take].tobytes()))
                             total += int(size.sum())
-                            if total > 1 << 24:
+                            if total > HELD:
                                 total = 0
                                 yield from flush()
                     k += 1
@@ -290,7 +292,7 @@ def _sorted_out(rows: DataFrame, partitions: int) -> DataFrame:
             count = size - WIDTH + 1
             segment = np.repeat(np.arange(len(size)), count)
             starts = np.repeat(base - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-            owns = np.zeros(len(text), np.int64)
+            owns = np.zeros(len(text), np.int32)
             owns[starts] = segment
             gone = np.zeros(len(text), bool)
             words = words_at(text)
