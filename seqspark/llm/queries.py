@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seqspark.llm.common import shared_dir
 from seqspark.llm.ngram_join import ngram_jaccard_components
+from seqspark.llm.packing import pack_documents
 from seqspark.llm.quality_rules import quality_rules
+from seqspark.llm.source_mix import mix_counts
 from seqspark.llm.substring_dedup import word_window_dedup
 from seqspark.llm.suffix_dedup import suffix_dedup
 from seqspark.llm.token_counts import token_counts
@@ -122,3 +124,15 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_token_store"] = op5_token_store
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_counts(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_best_fit_packing"] = op3_best_fit_packing
+QUERIES["op7_source_mix"] = op7_source_mix
