@@ -18,6 +18,7 @@ from seqspark.llm.suffix_dedup import suffix_dedup
 from seqspark.llm.token_counts import token_counts
 from seqspark.llm.token_store import read_store, write_store
 from seqspark.llm.url_filters import url_filter
+from seqspark.llm.vp_search import nearest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -136,3 +137,20 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op3_best_fit_packing"] = op3_best_fit_packing
 QUERIES["op7_source_mix"] = op7_source_mix
+
+
+def op6_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op6_vp_search"] = op6_vp_search
+ORACLE["op6_vp_search"] = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
