@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from seqspark.llm.common import materialize
 
 #: Vectors in a shard and queries in a block, about; and vectors in a leaf.
-SHARD, BLOCK, LEAF = 1 << 14, 1 << 11, 256
+SHARD, BLOCK, LEAF = 1 << 14, 1 << 11, 512
 
 
 class Tree:
@@ -80,6 +80,9 @@ class Tree:
         rows = np.full((n, k), -1, np.int64)
         dist = np.full((n, k), np.inf)
         qn = (queries * queries).sum(axis=1)
+        skip = np.repeat(np.arange(n), [len(o) for o in own]), np.concatenate([*own, np.empty(0, np.int64)]).astype(np.int64)
+        place = np.empty(len(self.order), np.int64)
+        place[self.order] = np.arange(len(self.order))
         done = [np.zeros(n, bool) for _ in self.nodes]
         # rounding: squared distances this close are not told apart while searching
         slack = 1e-9 * (float(self.norms.max()) + float(qn.max())) if n and len(self.points) else 0.0
@@ -87,9 +90,12 @@ class Tree:
         def visit(node: tuple, q: np.ndarray) -> None:
             span = self.order[node[0] : node[1]]
             d = qn[q, None] + self.norms[span][None, :] - 2.0 * (queries[q] @ self.points[span].T)
-            for i, x in enumerate(q):
-                if len(own[x]):
-                    d[i, np.isin(span, own[x])] = np.inf
+            i, r = skip[0][np.isin(skip[0], q)], skip[1][np.isin(skip[0], q)]
+            at = place[r] - node[0]
+            here = (at >= 0) & (at < len(span))
+            line = np.empty(n, np.int64)
+            line[q] = np.arange(len(q))
+            d[line[i[here]], at[here]] = np.inf
             # only queries that gain something are merged
             gain = d.min(axis=1) < dist[q, -1]
             q, d = q[gain], d[gain]
