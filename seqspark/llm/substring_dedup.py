@@ -83,10 +83,11 @@ def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(mark)[:n] > 0
 
 
-def with_class(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id``, ``text`` (never null) and ``t1``, ``t2``, a 128-bit hash of the text."""
+def with_class(df: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """``doc_id``, ``text`` (never null) and ``t1``, ``t2``, a 128-bit hash of the text (and ``row``, the input's row)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if carry else []
+    out = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *row)
     return out.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit(7), F.col("text")))
 
 

@@ -346,11 +346,17 @@ def cut_out(text: bytes, spans: list[bytes]) -> tuple[int, int, bytes]:
     return int((hi - lo).sum()), len(lo), b"".join(kept)
 
 
+def suffix_dedup_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with their columns as they were, but for the text, of which the repeated strings are gone (a null text becomes empty)."""
+    out = suffix_dedup(df, id_col, text_col, kept_text=True)
+    return out.select(*[F.col("kept").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns])
+
+
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept_text: bool = False) -> DataFrame:
-    """One row for each row: the id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` (and ``kept``, the text left)."""
+    """One row for each row: the id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` (and ``kept``, the text left, and ``row``, the input's row)."""
     spark = df.sparkSession
     partitions, buckets = int(spark.conf.get("spark.sql.shuffle.partitions")), x.buckets_for(spark)
-    docs = with_class(df, id_col, text_col)
+    docs = with_class(df, id_col, text_col, carry=kept_text)
 
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -372,10 +378,10 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         yield from x.packed(batches, keys_of, buckets, within=False)
 
-    facts = docs.select("doc_id", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), *([F.col("text").alias("whole")] if kept_text else []))
+    facts = docs.select("doc_id", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), *([F.col("text").alias("whole"), "row"] if kept_text else []))
     replies = x.repeated(docs.select("t1", "text").mapInArrow(fingerprints, x.PACKED), partitions, within=False)
     classes = docs.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"))
-    cand = candidates(docs, replies, classes)
+    cand = candidates(docs.drop("row"), replies, classes)
     spans = x.by_owner(_sorted_out(_segments(cand, buckets), partitions)).withColumnRenamed("owner", "_o").withColumnRenamed("keys", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,4 +406,4 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.when(copy, F.lit(1).cast("long")).otherwise(F.coalesce("_runs", zero)).alias("n_spans"),
         F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("_sha", "sha")).alias("kept_sha256"),
     ]
-    return out.select(*cols, *([F.when(copy, F.lit("")).otherwise(F.coalesce("_kept", "whole")).alias("kept")] if kept_text else []))
+    return out.select(*cols, *([F.when(copy, F.lit("")).otherwise(F.coalesce("_kept", "whole")).alias("kept"), "row"] if kept_text else []))
