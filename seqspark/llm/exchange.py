@@ -4,7 +4,8 @@ Map tasks pack their keys into one binary row for each bucket of the key space
 (keys and owners as byte planes, which compress), after combining equal keys,
 so that a key that a third of all documents hold arrives once for each buffer
 of ``BUFFER`` keys. Reduce tasks take one bucket at a time, sort it with numpy,
-and reply to each owner with its repeated keys.
+and reply to the owners with their repeated keys; replies travel packed too, by
+groups of owners.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 BUFFER = 1 << 20
-REPLY = "owner long, keys binary"
+REPLY = "grp int, owners binary, keys binary"
+_REPLY = ["grp", "owners", "keys"]
 
 
 def buckets_for(spark) -> int:
@@ -37,18 +38,19 @@ def unplanes(data: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
-def replies(owners: np.ndarray, keys: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Keys by owner."""
+def replies(owners: np.ndarray, values: np.ndarray, groups: int) -> tuple[list[int], list[bytes], list[bytes]]:
+    """Values for owners, as one (group, owners, values) for each group of owners; a value is one item of ``values`` (any item size)."""
     if len(owners) == 0:
-        return [], []
-    by = np.argsort(owners, kind="stable")
-    owners, keys = owners[by], keys[by]
-    cut = np.flatnonzero(owners[1:] != owners[:-1]) + 1
-    return owners[np.concatenate(([0], cut))].tolist(), [k.tobytes() for k in np.split(keys, cut)]
+        return [], [], []
+    g = owners & (groups - 1)
+    by = np.argsort(g, kind="stable")
+    owners, values, g = owners[by], values[by], g[by]
+    cut = np.flatnonzero(g[1:] != g[:-1]) + 1
+    return g[np.concatenate(([0], cut))].tolist(), [planes(o) for o in np.split(owners, cut)], [v.tobytes() for v in np.split(values, cut)]
 
 
 def packed(batches: Iterator[pa.RecordBatch], keys_of: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray, np.ndarray | None]]], buckets: int, within: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, h, h2, owner, many) of packed keys, and (owner, keys) of keys found repeated here.
+    """Rows (bucket, h, h2, o, many) of packed keys, and replies for keys found repeated here.
 
     ``keys_of`` yields (owner, keys, further key bits or None). ``within``: a
     key twice in one owner counts as repeated.
@@ -74,18 +76,18 @@ def packed(batches: Iterator[pa.RecordBatch], keys_of: Callable[[pa.RecordBatch]
         size = np.diff(np.append(heads, len(h)))
         many = size > 1 if within else o[heads] != o[heads + size - 1]
         again = many[group]
-        who, what = replies(o[again], h[again])
-        none = pa.nulls(len(who), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([o & (buckets - 1) for o in who], pa.int32()), none, none, none, none, pa.array(who, pa.int64()), pa.array(what, pa.binary())], names=["bucket", "h", "h2", "o", "many", "owner", "keys"])
+        grp, who, what = replies(o[again], h[again], buckets)
+        none = pa.nulls(len(grp), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), none, none, none, none, pa.array(grp, pa.int32()), pa.array(who, pa.binary()), pa.array(what, pa.binary())], names=_PACKED)
         h, h2, o = h[heads], h2[heads], o[heads]
         b = (h >> shift).astype(np.int64)
         cut = np.searchsorted(b, np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(cut))
         spans = [slice(cut[k], cut[k + 1]) for k in full]
-        none = pa.nulls(len(full), pa.int64())
+        none = pa.nulls(len(full), pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(full, pa.int32()), pa.array([planes(h[s]) for s in spans], pa.binary()), pa.array([planes(h2[s]) if two else b"" for s in spans], pa.binary()), pa.array([planes(o[s]) for s in spans], pa.binary()), pa.array([np.packbits(many[s]).tobytes() for s in spans], pa.binary()), none, pa.nulls(len(full), pa.binary())],
-            names=["bucket", "h", "h2", "o", "many", "owner", "keys"],
+            [pa.array(full, pa.int32()), pa.array([planes(h[s]) for s in spans], pa.binary()), pa.array([planes(h2[s]) if two else b"" for s in spans], pa.binary()), pa.array([planes(o[s]) for s in spans], pa.binary()), pa.array([np.packbits(many[s]).tobytes() for s in spans], pa.binary()), pa.nulls(len(full), pa.int32()), none, none],
+            names=_PACKED,
         )
 
     for b in batches:
@@ -100,11 +102,12 @@ def packed(batches: Iterator[pa.RecordBatch], keys_of: Callable[[pa.RecordBatch]
     yield from flush()
 
 
-PACKED = "bucket int, h binary, h2 binary, o binary, many binary, owner long, keys binary"
+PACKED = "bucket int, h binary, h2 binary, o binary, many binary, grp int, owners binary, keys binary"
+_PACKED = [c.split()[0] for c in PACKED.split(", ")]
 
 
-def repeated(rows: DataFrame, partitions: int, within: bool = True) -> DataFrame:
-    """(owner, keys): of each owner the keys that occur elsewhere too; several rows for an owner.
+def repeated(rows: DataFrame, partitions: int, buckets: int, within: bool = True) -> DataFrame:
+    """Replies: to each owner the keys that occur elsewhere too.
 
     ``rows`` come from ``packed``. Without ``within`` only another owner counts as elsewhere.
     """
@@ -124,13 +127,11 @@ def repeated(rows: DataFrame, partitions: int, within: bool = True) -> DataFrame
             size = np.diff(np.append(heads, len(h)))
             again = size > 1 if within else (o[heads] != o[heads + size - 1]) | np.logical_or.reduceat(many, heads)
             twice = np.repeat(again, size) & ~many  # the others have their reply already
-            who, what = replies(o[twice], h[twice])
-            return pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(what, pa.binary())], names=["owner", "keys"])
+            return reply_batch(o[twice], h[twice], buckets)
 
         for b in batches:
-            settled = b.column("owner").is_valid()
-            done = b.filter(settled)
-            yield pa.RecordBatch.from_arrays([done.column("owner"), done.column("keys")], names=["owner", "keys"])
+            settled = b.column("grp").is_valid()
+            yield b.filter(settled).select(_REPLY)
             b = b.filter(pa.compute.invert(settled))
             for bucket, h, h2, o, many in zip(*[b.column(k).to_pylist() for k in range(5)], strict=True):
                 if bucket != now:
@@ -146,10 +147,37 @@ def repeated(rows: DataFrame, partitions: int, within: bool = True) -> DataFrame
     return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, REPLY)
 
 
-def by_owner(rows: DataFrame) -> DataFrame:
-    """One row for each owner: ``owner``, ``keys`` (an array of binaries)."""
-    return rows.groupBy("owner").agg(F.collect_list("keys").alias("keys"))
+def by_owner(rows: DataFrame, partitions: int, width: int = 8) -> DataFrame:
+    """Replies gathered: one row for each owner, ``owner``, ``keys`` (its values of ``width`` bytes, as one binary)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+
+        def solve() -> pa.RecordBatch:
+            owners = np.concatenate([unplanes(o, "<i8") for o, _ in parts])
+            values = np.frombuffer(b"".join(v for _, v in parts), f"V{width}")
+            by = np.argsort(owners, kind="stable")
+            owners, values = owners[by], values[by]
+            cut = np.flatnonzero(owners[1:] != owners[:-1]) + 1
+            return pa.RecordBatch.from_arrays([pa.array(owners[np.concatenate(([0], cut))]), pa.array([v.tobytes() for v in np.split(values, cut)], pa.binary())], names=["owner", "keys"])
+
+        for b in batches:
+            for grp, owners, values in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True):
+                if grp != now:
+                    if parts:
+                        yield solve()
+                    now, parts = grp, []
+                parts.append((owners, values))
+        if parts:
+            yield solve()
+
+    return rows.repartition(partitions, "grp").sortWithinPartitions("grp").mapInArrow(run, "owner long, keys binary")
+
+
+def reply_batch(owners: np.ndarray, values: np.ndarray, groups: int) -> pa.RecordBatch:
+    grp, who, what = replies(owners, values, groups)
+    return pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), pa.array(who, pa.binary()), pa.array(what, pa.binary())], names=_REPLY)
 
 
-def key_set(keys: list[bytes] | None) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(keys), "<u8")) if keys else np.empty(0, np.uint64)
+def key_set(keys: bytes | None) -> np.ndarray:
+    return np.unique(np.frombuffer(keys, "<u8")) if keys else np.empty(0, np.uint64)

@@ -97,7 +97,7 @@ def candidates(docs: DataFrame, replies: DataFrame, classes: DataFrame) -> DataF
     ``classes`` has t1, t2, rep. The text is fetched by the smallest id, which
     no number of copies makes a hot key.
     """
-    r = x.by_owner(replies).withColumnRenamed("owner", "_o")
+    r = x.by_owner(replies, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumnRenamed("owner", "_o")
     want = classes.join(r, F.col("t1") == F.col("_o")).select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "rep", "keys")
     got = docs.join(want, (F.col("doc_id") == F.col("rep")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")))
     return materialize(got.select("doc_id", "t1", "t2", "text", "keys"), "candidates")
@@ -138,7 +138,7 @@ def word_window_dedup(df: DataFrame, window: int = 35, id_col: str = "doc_id", t
         yield from x.packed(batches, keys_of, buckets, within=True)
 
     facts = materialize(docs.select("doc_id", "text", "t1", "t2").mapInArrow(measure, "doc_id long, t1 long, t2 long, n_words long, sha string, whole string"), "facts")
-    replies = x.repeated(docs.select("t1", "text").mapInArrow(anchored, x.PACKED), partitions)
+    replies = x.repeated(docs.select("t1", "text").mapInArrow(anchored, x.PACKED), partitions, buckets)
     classes = facts.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     cand = candidates(docs, replies, classes)
 
@@ -156,7 +156,7 @@ def word_window_dedup(df: DataFrame, window: int = 35, id_col: str = "doc_id", t
 
         yield from x.packed(batches, keys_of, buckets, within=True)
 
-    found = x.by_owner(x.repeated(cand.mapInArrow(whole_windows, x.PACKED), partitions)).withColumnRenamed("owner", "_o").withColumnRenamed("keys", "found")
+    found = x.by_owner(x.repeated(cand.mapInArrow(whole_windows, x.PACKED), partitions, buckets), partitions).withColumnRenamed("owner", "_o").withColumnRenamed("keys", "found")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -181,19 +181,13 @@ def _slices(column: pa.Array) -> Iterator[tuple[list[bytes], np.ndarray, bytes]]
         yield texts, np.cumsum([0, *[len(t) + 1 for t in texts]]), data
 
 
-SEGMENTS = "bucket int, doc binary, owner binary, start binary, size binary, turn binary, data binary, settled_owner long, settled binary"
+SEGMENTS = "bucket int, doc binary, owner binary, start binary, size binary, turn binary, data binary, grp int, owners binary, keys binary"
 _NAMES = [c.split()[0] for c in SEGMENTS.split(", ")]
 
 
-def _spans(owner: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Removed windows first..last, by owner."""
-    if len(owner) == 0:
-        return [], []
-    pairs = np.stack([first, last], axis=1).astype("<i8")
-    by = np.argsort(owner, kind="stable")
-    owner, pairs = owner[by], pairs[by]
-    cut = np.flatnonzero(owner[1:] != owner[:-1]) + 1
-    return owner[np.concatenate(([0], cut))].tolist(), [p.tobytes() for p in np.split(pairs, cut)]
+def _windows(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Removed windows first..last as 16-byte values."""
+    return np.ascontiguousarray(np.stack([first, last], axis=1).astype("<i8")).view("V16").ravel()
 
 
 def _segments(cand: DataFrame, buckets: int) -> DataFrame:
@@ -220,9 +214,9 @@ def _segments(cand: DataFrame, buckets: int) -> DataFrame:
             new[1:] = ~new[1:]
             first = doc[by][np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
             later = by[doc[by] > first]
-            who, what = _spans(owner[later], start[later], start[later] + size[later] - WIDTH)
-            n, none = len(who), pa.nulls(len(who), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([o & (buckets - 1) for o in who], pa.int32()), *[none] * 6, pa.array(who, pa.int64()), pa.array(what, pa.binary())], names=_NAMES)
+            settled = x.reply_batch(owner[later], _windows(start[later], start[later] + size[later] - WIDTH), buckets)
+            none = pa.nulls(settled.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([settled.column("grp"), *[none] * 6, *settled.columns], names=_NAMES)
             stay = np.setdiff1d(np.arange(len(by)), later)
             b = (key[stay] >> shift).astype(np.int64)
             stay, b = stay[np.argsort(b, kind="stable")], np.sort(b)
@@ -235,7 +229,7 @@ def _segments(cand: DataFrame, buckets: int) -> DataFrame:
                 for c, v in zip(cols, (int(k), x.planes(doc[s]), x.planes(owner[s]), x.planes(start[s]), x.planes(sizes), turn[s].tobytes(), data[take].tobytes()), strict=True):
                     c.append(v)
             n = len(cols[0])
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]], pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]], pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=_NAMES)
 
         for b in batches:
             docs, owners, keys, k = b.column("doc_id").to_pylist(), b.column("t1").to_pylist(), b.column("keys").to_pylist(), 0
@@ -273,8 +267,8 @@ def _segments(cand: DataFrame, buckets: int) -> DataFrame:
     return cand.mapInArrow(run, SEGMENTS)
 
 
-def _sorted_out(rows: DataFrame, partitions: int) -> DataFrame:
-    """(owner, spans): windows whose string a smaller document holds, from the packed segments."""
+def _sorted_out(rows: DataFrame, partitions: int, buckets: int) -> DataFrame:
+    """Replies: to each owner its windows whose string a smaller document holds, from the packed segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
@@ -309,13 +303,11 @@ def _sorted_out(rows: DataFrame, partitions: int) -> DataFrame:
             keep = out[first]
             first, last = first[keep], last[keep]
             s = segment[first]
-            who, what = _spans(owner[s], start[s] + starts[first] - base[s], start[s] + starts[last] - base[s])
-            return pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(what, pa.binary())], names=["owner", "keys"])
+            return x.reply_batch(owner[s], _windows(start[s] + starts[first] - base[s], start[s] + starts[last] - base[s]), buckets)
 
         for b in batches:
-            settled = b.column("settled_owner").is_valid()
-            done = b.filter(settled)
-            yield pa.RecordBatch.from_arrays([done.column("settled_owner"), done.column("settled")], names=["owner", "keys"])
+            settled = b.column("grp").is_valid()
+            yield b.filter(settled).select(["grp", "owners", "keys"])
             b = b.filter(pa.compute.invert(settled))
             for bucket, *part in zip(*[b.column(k).to_pylist() for k in range(7)], strict=True):
                 if bucket != now:
@@ -329,9 +321,9 @@ def _sorted_out(rows: DataFrame, partitions: int) -> DataFrame:
     return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, x.REPLY)
 
 
-def cut_out(text: bytes, spans: list[bytes]) -> tuple[int, int, bytes]:
+def cut_out(text: bytes, spans: bytes) -> tuple[int, int, bytes]:
     """(removed bytes, maximal removed runs, the bytes left) when the windows of the spans go."""
-    pairs = np.frombuffer(b"".join(spans), "<i8").reshape(-1, 2)
+    pairs = np.frombuffer(spans, "<i8").reshape(-1, 2)
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
     begin, end = pairs[:, 0], np.maximum.accumulate(pairs[:, 1] + WIDTH)
     new = np.ones(len(pairs), bool)
@@ -379,10 +371,10 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         yield from x.packed(batches, keys_of, buckets, within=False)
 
     facts = docs.select("doc_id", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), *([F.col("text").alias("whole"), "row"] if kept_text else []))
-    replies = x.repeated(docs.select("t1", "text").mapInArrow(fingerprints, x.PACKED), partitions, within=False)
+    replies = x.repeated(docs.select("t1", "text").mapInArrow(fingerprints, x.PACKED), partitions, buckets, within=False)
     classes = docs.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"))
     cand = candidates(docs.drop("row"), replies, classes)
-    spans = x.by_owner(_sorted_out(_segments(cand, buckets), partitions)).withColumnRenamed("owner", "_o").withColumnRenamed("keys", "spans")
+    spans = x.by_owner(_sorted_out(_segments(cand, buckets), partitions, buckets), partitions, width=16).withColumnRenamed("owner", "_o").withColumnRenamed("keys", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
