@@ -24,7 +24,7 @@ _REPLY = ["grp", "owners", "keys"]
 
 def buckets_for(spark) -> int:
     """Buckets of the key space: a power of two, some for each shuffle partition."""
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     return 1 << max(5, (n - 1).bit_length())
 
 
@@ -76,7 +76,7 @@ def packed(batches: Iterator[pa.RecordBatch], keys_of: Callable[[pa.RecordBatch]
         size = np.diff(np.append(heads, len(h)))
         many = size > 1 if within else o[heads] != o[heads + size - 1]
         again = many[group]
-        grp, who, what = replies(o[again], h[again], buckets)
+        grp, who, what = replies(o[again], h[again], max(1, buckets // 16))
         none = pa.nulls(len(grp), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), none, none, none, none, pa.array(grp, pa.int32()), pa.array(who, pa.binary()), pa.array(what, pa.binary())], names=_PACKED)
         h, h2, o = h[heads], h2[heads], o[heads]
@@ -113,9 +113,9 @@ def repeated(rows: DataFrame, partitions: int, buckets: int, within: bool = True
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
+        now, parts, out = None, [], Replies(buckets)
 
-        def solve() -> pa.RecordBatch:
+        def solve() -> Iterator[pa.RecordBatch]:
             h = np.concatenate([p[0] for p in parts])
             h2 = np.concatenate([p[1] for p in parts])
             o = np.concatenate([p[2] for p in parts])
@@ -127,7 +127,7 @@ def repeated(rows: DataFrame, partitions: int, buckets: int, within: bool = True
             size = np.diff(np.append(heads, len(h)))
             again = size > 1 if within else (o[heads] != o[heads + size - 1]) | np.logical_or.reduceat(many, heads)
             twice = np.repeat(again, size) & ~many  # the others have their reply already
-            return reply_batch(o[twice], h[twice], buckets)
+            yield from out.add(o[twice], h[twice])
 
         for b in batches:
             settled = b.column("grp").is_valid()
@@ -136,12 +136,13 @@ def repeated(rows: DataFrame, partitions: int, buckets: int, within: bool = True
             for bucket, h, h2, o, many in zip(*[b.column(k).to_pylist() for k in range(5)], strict=True):
                 if bucket != now:
                     if parts:
-                        yield solve()
+                        yield from solve()
                     now, parts = bucket, []
                 keys = unplanes(h, "<u8")
                 parts.append((keys, unplanes(h2, "<u4") if h2 else np.zeros(len(keys), np.uint32), unplanes(o, "<i8"), np.unpackbits(np.frombuffer(many, np.uint8), count=len(keys)).astype(bool)))
         if parts:
-            yield solve()
+            yield from solve()
+        yield from out.flush()
 
     # what the map side has settled passes through, so that the rows are made once
     return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, REPLY)
@@ -179,5 +180,24 @@ def reply_batch(owners: np.ndarray, values: np.ndarray, groups: int) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), pa.array(who, pa.binary()), pa.array(what, pa.binary())], names=_REPLY)
 
 
+class Replies:
+    """Replies of one task, held until there are many."""
+
+    def __init__(self, buckets: int):
+        self.groups, self.owners, self.values, self.total = max(1, buckets // 16), [], [], 0
+
+    def add(self, owners: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.owners.append(owners)
+        self.values.append(values)
+        self.total += len(owners)
+        if self.total > BUFFER:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.total:
+            yield reply_batch(np.concatenate(self.owners), np.concatenate(self.values), self.groups)
+        self.owners, self.values, self.total = [], [], 0
+
+
 def key_set(keys: bytes | None) -> np.ndarray:
     return np.unique(np.frombuffer(keys, "<u8")) if keys else np.empty(0, np.uint64)

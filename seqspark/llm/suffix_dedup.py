@@ -47,7 +47,7 @@ WIDTH, GRAM = 50, 20
 #: A difference cover modulo 16.
 PERIOD, COVER = 16, (0, 1, 2, 5, 8)
 #: Zero bytes after each segment, so that ranks may look past its end.
-PAD = 48
+PAD = 32
 #: Suffixes sorted at a time.
 BLOCK = 1 << 21
 #: Bytes of segments that a map task combines at a time.
@@ -66,40 +66,50 @@ def words_at(text: np.ndarray) -> np.ndarray:
     return np.ndarray((len(text) - 7,), ">u8", text, strides=(1,)).astype(np.uint64)
 
 
-def dense(*keys: np.ndarray) -> np.ndarray:
-    """Ranks, from 1, of tuples of keys (the first is the major one)."""
-    by = np.lexsort(keys[::-1])
+def dense(key: np.ndarray) -> np.ndarray:
+    """Ranks, from 1, of one key."""
+    by = np.argsort(key)
+    s = key[by]
     new = np.zeros(len(by), bool)
-    for k in keys:
-        s = k[by]
-        new[1:] |= s[1:] != s[:-1]
-    out = np.empty(len(by), np.int32)
+    new[1:] = s[1:] != s[:-1]
+    out = np.empty(len(by), np.uint64)
     out[by] = np.cumsum(new) + 1
     return out
 
 
-def cover_ranks(text: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """For each position in the cover the rank of its next 64 bytes among the cover's positions; 0 elsewhere and near the end."""
-    n = len(words) - 8
-    at = (np.arange(0, n, PERIOD)[:, None] + np.array(COVER)[None, :]).ravel()
-    at = at[at < n]
-    rank = np.zeros(len(text) + 64, np.int32)
-    rank[at] = dense(words[at], words[at + 8])  # 16 bytes
-    rank[at] = dense(rank[at], rank[at + 16])  # 32
-    rank[at] = dense(rank[at], rank[at + 32])  # 64
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Ranks of pairs of ranks below 2**32."""
+    return dense((a << np.uint64(32)) | b)
+
+
+def cover_ranks(words: np.ndarray, size: int, ends: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """For each position in the cover the rank of its next 64 bytes among the cover's positions; 0 elsewhere.
+
+    Suffixes lie between ``begins`` and ``ends``; positions further than a
+    period past an end hold padding and are not ranked.
+    """
+    lo, hi = begins // PERIOD, (ends + PERIOD) // PERIOD + 1
+    count = hi - lo
+    row = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    at = (np.unique(row)[:, None] * PERIOD + np.array(COVER)[None, :]).ravel()
+    at = at[at < len(words) - 8]
+    rank = np.zeros(size + 64, np.uint64)
+    rank[at] = paired(dense(words[at]), dense(words[at + 8]))  # 16 bytes
+    rank[at] = paired(rank[at], rank[at + 16])  # 32
+    rank[at] = paired(rank[at], rank[at + 32])  # 64
     return rank
 
 
-def suffix_order(text: np.ndarray, starts: np.ndarray, block: int = BLOCK) -> Iterator[np.ndarray]:
+def suffix_order(text: np.ndarray, starts: np.ndarray, begins: np.ndarray, ends: np.ndarray, block: int = BLOCK) -> Iterator[np.ndarray]:
     """``starts`` in the order of the suffixes there (to at least ``WIDTH`` bytes), one bucket after another.
 
     No two suffixes that share their first bytes are in different buckets.
-    ``text`` must have ``PAD`` bytes of padding after each suffix's end.
+    ``text`` consists of segments ``begins`` .. ``ends`` with ``PAD`` zero bytes after each.
     """
     if len(starts) == 0:
         return
     words = words_at(text)
-    rank = cover_ranks(text, words)
+    rank = cover_ranks(words, len(text), ends, begins)
     head = words[starts]
     if len(starts) > block:
         edges = np.unique(np.sort(head)[block::block])
@@ -112,11 +122,11 @@ def suffix_order(text: np.ndarray, starts: np.ndarray, block: int = BLOCK) -> It
             continue
         at = starts[b]
         own = rank[at + _SHIFT[at % PERIOD, at % PERIOD]]
-        w0, w1 = words[at], words[at + 8]
-        by = np.lexsort((own, w1, w0))
-        at, w0, w1 = at[by], w0[by], w1[by]
+        prefix = paired(dense(words[at]), dense(words[at + 8]))
+        by = np.argsort((prefix << np.uint64(32)) | own)
+        at, prefix = at[by], prefix[by]
         new = np.ones(len(at), bool)
-        new[1:] = (w0[1:] != w0[:-1]) | (w1[1:] != w1[:-1])
+        new[1:] = prefix[1:] != prefix[:-1]
         heads = np.flatnonzero(new)
         residue = at % PERIOD
         mixed = np.minimum.reduceat(residue, heads) != np.maximum.reduceat(residue, heads)
@@ -214,7 +224,7 @@ def _segments(cand: DataFrame, buckets: int) -> DataFrame:
             new[1:] = ~new[1:]
             first = doc[by][np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
             later = by[doc[by] > first]
-            settled = x.reply_batch(owner[later], _windows(start[later], start[later] + size[later] - WIDTH), buckets)
+            settled = x.reply_batch(owner[later], _windows(start[later], start[later] + size[later] - WIDTH), max(1, buckets // 16))
             none = pa.nulls(settled.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([settled.column("grp"), *[none] * 6, *settled.columns], names=_NAMES)
             stay = np.setdiff1d(np.arange(len(by)), later)
@@ -271,9 +281,9 @@ def _sorted_out(rows: DataFrame, partitions: int, buckets: int) -> DataFrame:
     """Replies: to each owner its windows whose string a smaller document holds, from the packed segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
+        now, parts, out_ = None, [], x.Replies(buckets)
 
-        def solve() -> pa.RecordBatch:
+        def solve() -> Iterator[pa.RecordBatch]:
             doc, owner, start, size = (np.concatenate([x.unplanes(p[k], "<i8") for p in parts]) for k in range(4))
             turn = np.frombuffer(b"".join(p[4] for p in parts), np.uint8).astype(np.int64)
             data = np.frombuffer(b"".join(p[5] for p in parts), np.uint8)
@@ -290,7 +300,7 @@ def _sorted_out(rows: DataFrame, partitions: int, buckets: int) -> DataFrame:
             owns[starts] = segment
             gone = np.zeros(len(text), bool)
             words = words_at(text)
-            for order in suffix_order(text, starts):
+            for order in suffix_order(text, starts, base, base + size):
                 group = repeated_groups(text, order, words)
                 docs = doc[owns[order]]
                 heads = np.flatnonzero(np.diff(group, prepend=-1))
@@ -303,7 +313,7 @@ def _sorted_out(rows: DataFrame, partitions: int, buckets: int) -> DataFrame:
             keep = out[first]
             first, last = first[keep], last[keep]
             s = segment[first]
-            return x.reply_batch(owner[s], _windows(start[s] + starts[first] - base[s], start[s] + starts[last] - base[s]), buckets)
+            yield from out_.add(owner[s], _windows(start[s] + starts[first] - base[s], start[s] + starts[last] - base[s]))
 
         for b in batches:
             settled = b.column("grp").is_valid()
@@ -312,11 +322,12 @@ def _sorted_out(rows: DataFrame, partitions: int, buckets: int) -> DataFrame:
             for bucket, *part in zip(*[b.column(k).to_pylist() for k in range(7)], strict=True):
                 if bucket != now:
                     if parts:
-                        yield solve()
+                        yield from solve()
                     now, parts = bucket, []
                 parts.append(part)
         if parts:
-            yield solve()
+            yield from solve()
+        yield from out_.flush()
 
     return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, x.REPLY)
 
