@@ -7,7 +7,7 @@ unsigned 32-bit bytes, so that a text's ids are one ``bytes.join``:
   character; neither vocabulary's splitting rule joins anything across such a
   place. Texts with any other white space beside spaces are not cut there, but
   given whole to the library;
-* a part that was not seen lately is merged by tiktoken's engine, which merges
+* parts that were not seen lately are merged, many at a time, by tiktoken's engine, which merges
   by the rank of the joined string. That is the library's merging exactly if
   every vocabulary string merges alone to itself and no two merges make the
   same string; ``prove_ranks`` shows that for a vocabulary file (a test runs
@@ -20,16 +20,20 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
 REMEMBERED = 250_000
 LONGEST = 64
+#: Characters of text taken together.
+GROUP = 1 << 19
 #: Plain parts: no control characters, no white space but spaces and line ends, nothing beyond Latin Extended-A.
 _PLAIN = re.compile("[\n\x20-\x7e\xa1-\xac\xae-įı-ſ]*")
 _PARTS = re.compile("[ \n]*[^ \n]+|[ \n]+")
-_END = b"\xff"
+#: Ends a word inside the merge engine; control characters are not plain, so no word holds it.
+_END = b"\x7f"
 
 
 def prove_ranks(path: str) -> bool:
@@ -75,66 +79,92 @@ class Bpe:
         strings = [bytes([b]) for b in range(256)]
         ids = [model["vocab"][c] for c in sorted(of, key=of.get)]
         if self.suffix:
-            strings += [bytes([b]) + _END for b in range(255)]
-            ids += [model["vocab"][c + self.suffix] for c in sorted(of, key=of.get)[:255]]
+            ends = [(b, c) for c, b in sorted(of.items(), key=lambda x: x[1]) if b != _END[0]]
+            strings += [bytes([b]) + _END for b, _ in ends]
+            ids += [model["vocab"][c + self.suffix] for _, c in ends]
         for m in model["merges"]:
             s = "".join(m.split(" ")) if isinstance(m, str) else "".join(m)
             strings.append(raw(s[: -len(self.suffix)]) + _END if self.suffix and s.endswith(self.suffix) else raw(s))
             ids.append(model["vocab"][s])
-        self.engine = tiktoken.Encoding("ranks", pat_str=r"\S+|\s+", mergeable_ranks={s: k for k, s in enumerate(strings)}, special_tokens={})._core_bpe
-        self.ids = [i.to_bytes(4, "little") for i in ids]
-        if self.suffix:
-            pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-        else:
-            pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         import regex
 
-        self.pieces = regex.compile(pattern).findall
+        self.id_of = np.array(ids, dtype="<u4")
+        if self.suffix:
+            self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n").findall
+            pattern, self.line = r"[^\x7f]*\x7f", strings.index(b"\n" + _END)
+        else:
+            pattern, self.line = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", strings.index(b"\n")
+        self.merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={t: k for k, t in enumerate(strings)}, special_tokens={})._core_bpe.encode_ordinary
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def by_library(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def part(self, part: str) -> bytes:
-        found = self.old.get(part)
-        if found is None:
-            letters = part[part[:1] == " " :].isalpha()
-            if not (letters and part.isascii()) and (not _PLAIN.fullmatch(part) or "<|" in part):
-                found = self.by_library(part)
+    def _merged(self, parts: list[str]) -> Iterator[bytes]:
+        """Ids of plain parts without line ends, all merged in one call."""
+        text = "\n".join(parts)
+        if self.suffix:
+            text = text.lower()  # of plain characters: one by one, as the library does
+            text = "\x7f".join(self.pieces(text)) + "\x7f"
+        ranks = np.array(self.merge(text), dtype=np.int64)
+        data = self.id_of[ranks].tobytes()
+        ends = (4 * np.flatnonzero(ranks == self.line)).tolist()
+        at = 0
+        for end in [*ends, len(data)]:
+            yield data[at:end]
+            at = end + 4
+
+    def _learn(self, parts: set[str]) -> None:
+        """Brings the ids of all ``parts`` into the young table."""
+        new = parts - self.young.keys()
+        if len(self.young) + len(new) > REMEMBERED:
+            self.old, self.young, new = self.young, {}, parts
+        plain = []
+        for p in new:
+            found = self.old.get(p)
+            if found is not None:
+                self.young[p] = found
+            elif "\n" in p or "<|" in p or not _PLAIN.fullmatch(p):
+                self.young[p] = self.by_library(p)
+            elif p:
+                plain.append(p)
             else:
-                if self.suffix:
-                    part_ = part.lower() if part.isascii() else "".join([c.lower() for c in part])
-                    pieces = [p.encode() + _END for p in ([part_] if letters else self.pieces(part_))]
-                else:
-                    pieces = [part.encode()] if letters else [p.encode() for p in self.pieces(part)]
-                merge, ids = self.engine.encode_single_piece, self.ids
-                found = b"".join([ids[r] for p in pieces for r in merge(p)])
-        if len(part) <= LONGEST:
-            if len(self.young) >= REMEMBERED:
-                self.old, self.young = self.young, {}
-            self.young[part] = found
-        return found
+                self.young[p] = b""
+        if plain:
+            self.young.update(zip(plain, self._merged(plain), strict=True))
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a whole text, no special tokens added, nothing cut off."""
-        if not text:
-            return b""
+    def _parts(self, text: str) -> list[str] | None:
+        """The text's parts, or None if only the whole text will do."""
         if self.suffix:
-            parts = text.replace("\n", " ").split(" ")  # white space never reaches a token
-        elif "  " in text or "\n " in text or " \n" in text or "\n\n" in text:
-            if _OTHER_SPACE.search(text):
-                return self.by_library(text)
-            parts = _PARTS.findall(text)
-        else:
-            if _OTHER_SPACE.search(text):
-                return self.by_library(text)
-            first, *parts = text.split(" ")
-            parts = [first, *[" " + p for p in parts]]
-        young, part, out = self.young.get, self.part, []
-        for p in parts:
-            out.append(young(p) or part(p))
-        return b"".join(out)
+            return text.replace("\n", " ").split(" ")  # white space never reaches a token
+        if _OTHER_SPACE.search(text):
+            return None
+        if "  " in text or "\n " in text or " \n" in text or "\n\n" in text:
+            return _PARTS.findall(text)
+        first, *parts = text.replace("\n", " \n").split(" ")
+        return [first, *[p if p[:1] == "\n" else " " + p for p in parts]]
+
+    def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of whole texts, no special tokens added, nothing cut off; null is empty."""
+        k = 0
+        while k < len(texts):
+            group, size = [], 0
+            while k < len(texts) and (not group or size < GROUP):
+                text = texts[k] or ""
+                group.append((text, self._parts(text) if text else []))
+                size += len(text)
+                k += 1
+            parts = set().union(*[p for _, p in group if p])
+            self._learn(parts)
+            ids = self.young.__getitem__
+            for text, p in group:
+                yield self.by_library(text) if p is None else b"".join(map(ids, p))
+            for p in [p for p in parts if len(p) > LONGEST]:
+                del self.young[p]
+
+    def encode(self, text: str) -> bytes:
+        return next(self.encode_many([text]))
 
 
 _OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")

@@ -224,8 +224,8 @@ def pack_documents(df: DataFrame, tokenizer: str, end_id: int, capacity: int = 4
         bpe, end = load(tokenizer), int(end_id).to_bytes(4, "little")
         for b in batches:
             out: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = bpe.encode(text.as_py() or "") + end
+            for doc, made in zip(b.column(0).to_pylist(), bpe.encode_many(b.column(1).to_pylist()), strict=True):
+                ids = made + end
                 for k in range(0, len(ids), 4 * capacity):
                     piece = ids[k : k + 4 * capacity]
                     out.append((doc, k // (4 * capacity), k // 4, len(piece) // 4, zlib.crc32(piece), 1))

@@ -137,8 +137,8 @@ def write_store(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             docs, counts, recipes, chunks = [], [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.frombuffer(bpe.encode(text.as_py() or "") + end, "<u4")
+            for doc, made in zip(b.column(0).to_pylist(), bpe.encode_many(b.column(1).to_pylist()), strict=True):
+                ids = np.frombuffer(made + end, "<u4")
                 raw = ids.astype("<u2") if small else ids
                 at, recipe = 0, []
                 for stop in boundaries(ids):
@@ -174,7 +174,7 @@ def write_store(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
 
     # one shuffle and one write: chunks meet by digest, recipes come along
     made = made.withColumn("kind", F.when(F.col("digest").isNull(), "recipe").otherwise("chunk"))
-    made = made.repartition(partitions, F.coalesce(F.xxhash64("digest"), F.col("doc_id"))).sortWithinPartitions("kind", "digest")
+    made = made.repartition(partitions, F.when(F.col("digest").isNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("digest"))).sortWithinPartitions("kind", "digest")
     made.mapInArrow(first_of, made.schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/data")
     # (a table without rows has no folder of its kind)
     recipes = spark.read.schema(made.schema).parquet(f"{path}/data").where("kind = 'recipe'").select("doc_id", F.col("n").alias("n_tokens"), "digests")
