@@ -49,10 +49,9 @@ def base_share(s: Column, base: str) -> Column:
 
 
 def codons(s: Column, frame: Column | int = 0) -> Column:
-    """Complete codons from ``frame`` on."""
+    """Complete codons from ``frame`` on, in one pass over the sequence."""
     frame = F.lit(frame) if isinstance(frame, int) else frame
-    n = F.floor((F.length(s) - frame) / 3).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(s, frame + 3 * k + 1, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(F.substring(s, frame + 1, F.length(s)), F.lit("(?s)(.{3})"))
 
 
 def stops_in_frame(s: Column, frame: int, code: int = 1) -> Column:
@@ -105,8 +104,7 @@ def translate_nt(s: Column, frame: Column | int = 0, code: int = 1) -> Column:
 def kmer_set(s: Column, k: int = 5, alphabet: str = "ACGT") -> Column:
     """Distinct k-mers of plain letters; an ambiguous letter breaks the run. U counts as T."""
     up = F.replace(F.upper(s), F.lit("U"), F.lit("T")) if alphabet == "ACGT" else F.upper(s)
-    all_ = lambda t: F.when(F.length(t) >= k, F.transform(F.sequence(F.lit(1), F.length(t) - k + 1), lambda i: F.substring(t, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.filter(let(up, all_), lambda w: w.rlike(f"^[{alphabet}]{{{k}}}$")))
+    return F.array_distinct(F.regexp_extract_all(up, F.lit(f"(?=([{alphabet}]{{{k}}}))")))
 
 
 def gap_runs(row: Column) -> Column:
