@@ -15,11 +15,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 BUFFER = 1 << 20
-REPLY = "grp int, owners binary, keys binary"
-_REPLY = ["grp", "owners", "keys"]
+REPLY = "grp int, owners binary, keys binary, naming boolean"
+_REPLY = ["grp", "owners", "keys", "naming"]
 
 
 def buckets_for(spark) -> int:
@@ -57,6 +59,9 @@ def packed(batches: Iterator[pa.RecordBatch], keys_of: Callable[[pa.RecordBatch]
     """
     held: list[tuple[int, np.ndarray, np.ndarray | None]] = []
     total = 0
+    # owners travel as numbers that count up within the task and compress well; their names follow once
+    task, number, names = TaskContext.get().partitionId() << 32 if TaskContext.get() else 0, 0, []
+    groups = max(1, buckets // 16)
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -76,9 +81,10 @@ def packed(batches: Iterator[pa.RecordBatch], keys_of: Callable[[pa.RecordBatch]
         size = np.diff(np.append(heads, len(h)))
         many = size > 1 if within else o[heads] != o[heads + size - 1]
         again = many[group]
-        grp, who, what = replies(o[again], h[again], max(1, buckets // 16))
-        none = pa.nulls(len(grp), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), none, none, none, none, pa.array(grp, pa.int32()), pa.array(who, pa.binary()), pa.array(what, pa.binary())], names=_PACKED)
+        for r in (reply_batch(o[again], h[again], groups), reply_batch(np.array([k for k, _ in names], np.int64), np.array([v for _, v in names], np.int64), groups, naming=True)):
+            none = pa.nulls(r.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([r.column("grp"), none, none, none, none, *r.columns], names=_PACKED)
+        names.clear()
         h, h2, o = h[heads], h2[heads], o[heads]
         b = (h >> shift).astype(np.int64)
         cut = np.searchsorted(b, np.arange(buckets + 1))
@@ -86,7 +92,7 @@ def packed(batches: Iterator[pa.RecordBatch], keys_of: Callable[[pa.RecordBatch]
         spans = [slice(cut[k], cut[k + 1]) for k in full]
         none = pa.nulls(len(full), pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(full, pa.int32()), pa.array([planes(h[s]) for s in spans], pa.binary()), pa.array([planes(h2[s]) if two else b"" for s in spans], pa.binary()), pa.array([planes(o[s]) for s in spans], pa.binary()), pa.array([np.packbits(many[s]).tobytes() for s in spans], pa.binary()), pa.nulls(len(full), pa.int32()), none, none],
+            [pa.array(full, pa.int32()), pa.array([planes(h[s]) for s in spans], pa.binary()), pa.array([planes(h2[s]) if two else b"" for s in spans], pa.binary()), pa.array([planes(o[s]) for s in spans], pa.binary()), pa.array([np.packbits(many[s]).tobytes() for s in spans], pa.binary()), pa.nulls(len(full), pa.int32()), none, none, pa.nulls(len(full), pa.bool_())],
             names=_PACKED,
         )
 
@@ -94,7 +100,9 @@ def packed(batches: Iterator[pa.RecordBatch], keys_of: Callable[[pa.RecordBatch]
         for owner, keys, more in keys_of(b):
             if len(keys) == 0:
                 continue
-            held.append((owner, keys, more))
+            held.append((task + number, keys, more))
+            names.append((task + number, owner))
+            number += 1
             total += len(keys)
             if total >= BUFFER:
                 total = 0
@@ -102,7 +110,7 @@ def packed(batches: Iterator[pa.RecordBatch], keys_of: Callable[[pa.RecordBatch]
     yield from flush()
 
 
-PACKED = "bucket int, h binary, h2 binary, o binary, many binary, grp int, owners binary, keys binary"
+PACKED = "bucket int, h binary, h2 binary, o binary, many binary, grp int, owners binary, keys binary, naming boolean"
 _PACKED = [c.split()[0] for c in PACKED.split(", ")]
 
 
@@ -149,35 +157,64 @@ def repeated(rows: DataFrame, partitions: int, buckets: int, within: bool = True
 
 
 def by_owner(rows: DataFrame, partitions: int, width: int = 8) -> DataFrame:
-    """Replies gathered: one row for each owner, ``owner``, ``keys`` (its values of ``width`` bytes, as one binary)."""
+    """Replies gathered: ``owner``, ``keys`` (its values of ``width`` bytes, as one binary); an owner that several tasks met has a row for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
+        now, parts, names = None, [], []
 
-        def solve() -> pa.RecordBatch:
+        def solve() -> Iterator[pa.RecordBatch]:
+            if not parts:
+                return
             owners = np.concatenate([unplanes(o, "<i8") for o, _ in parts])
             values = np.frombuffer(b"".join(v for _, v in parts), f"V{width}")
             by = np.argsort(owners, kind="stable")
             owners, values = owners[by], values[by]
             cut = np.flatnonzero(owners[1:] != owners[:-1]) + 1
-            return pa.RecordBatch.from_arrays([pa.array(owners[np.concatenate(([0], cut))]), pa.array([v.tobytes() for v in np.split(values, cut)], pa.binary())], names=["owner", "keys"])
+            heads = owners[np.concatenate(([0], cut))]
+            if names:
+                number, name = np.concatenate([unplanes(o, "<i8") for o, _ in names]), np.frombuffer(b"".join(v for _, v in names), "<i8")
+                by = np.argsort(number)
+                heads = name[by][np.searchsorted(number[by], heads)]
+            yield pa.RecordBatch.from_arrays([pa.array(heads), pa.array([v.tobytes() for v in np.split(values, cut)], pa.binary())], names=["owner", "keys"])
 
         for b in batches:
-            for grp, owners, values in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True):
+            for grp, owners, values, naming in zip(*[b.column(k).to_pylist() for k in range(4)], strict=True):
                 if grp != now:
-                    if parts:
-                        yield solve()
-                    now, parts = grp, []
-                parts.append((owners, values))
-        if parts:
-            yield solve()
+                    yield from solve()
+                    now, parts, names = grp, [], []
+                (names if naming else parts).append((owners, values))
+        yield from solve()
 
     return rows.repartition(partitions, "grp").sortWithinPartitions("grp").mapInArrow(run, "owner long, keys binary")
 
 
-def reply_batch(owners: np.ndarray, values: np.ndarray, groups: int) -> pa.RecordBatch:
+def reply_batch(owners: np.ndarray, values: np.ndarray, groups: int, naming: bool = False) -> pa.RecordBatch:
     grp, who, what = replies(owners, values, groups)
-    return pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), pa.array(who, pa.binary()), pa.array(what, pa.binary())], names=_REPLY)
+    return pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), pa.array(who, pa.binary()), pa.array(what, pa.binary()), pa.array([naming] * len(grp), pa.bool_())], names=_REPLY)
+
+
+def zipped(docs: DataFrame) -> DataFrame:
+    """The rows with ``text`` as zstd bytes: what is shuffled and written shrinks by a third against lz4."""
+    schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType) for f in docs.schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        at = docs_names.index("text")
+        for b in batches:
+            z = pa.array([squeeze(t or b"") for t in b.column(at).cast(pa.large_binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([z if k == at else c for k, c in enumerate(b.columns)], names=docs_names)
+
+    docs_names = docs.columns
+    return docs.mapInArrow(run, schema)
+
+
+def unzipped(column: pa.Array) -> pa.Array:
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor().decompress
+    return pa.array([expand(z) for z in column.to_pylist()], pa.large_binary())
 
 
 class Replies:

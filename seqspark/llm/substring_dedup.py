@@ -92,14 +92,15 @@ def with_class(df: DataFrame, id_col: str, text_col: str, carry: bool = False) -
 
 
 def candidates(docs: DataFrame, replies: DataFrame, classes: DataFrame) -> DataFrame:
-    """One row for each class with replies: t1, t2, doc_id (the smallest), text, keys.
+    """One row for each class with replies: t1, t2, doc_id (the smallest), text (zstd), keys.
 
     ``classes`` has t1, t2, rep. The text is fetched by the smallest id, which
     no number of copies makes a hot key.
     """
     r = x.by_owner(replies, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumnRenamed("owner", "_o")
     want = classes.join(r, F.col("t1") == F.col("_o")).select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "rep", "keys")
-    got = docs.join(want, (F.col("doc_id") == F.col("rep")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")))
+    want = want.dropDuplicates(["_t1", "_t2"])  # of a class that several tasks met, all got the same
+    got = x.zipped(docs).join(want, (F.col("doc_id") == F.col("rep")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")))
     return materialize(got.select("doc_id", "t1", "t2", "text", "keys"), "candidates")
 
 
@@ -145,7 +146,7 @@ def word_window_dedup(df: DataFrame, window: int = 35, id_col: str = "doc_id", t
     def whole_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def keys_of(b: pa.RecordBatch):
             owners, keys, k = b.column("t1").to_pylist(), b.column("keys").to_pylist(), 0
-            for texts in slices(b.column("text")):
+            for texts in slices(x.unzipped(b.column("text"))):
                 h, first, *_ = hash_words(texts)
                 for d in range(len(texts)):
                     words = h[first[d] : first[d + 1]]
@@ -161,7 +162,7 @@ def word_window_dedup(df: DataFrame, window: int = 35, id_col: str = "doc_id", t
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, k, n, sha, kept_ = b.column("found").to_pylist(), 0, [], [], []
-            for texts in slices(b.column("text")):
+            for texts in slices(x.unzipped(b.column("text"))):
                 h, first, *_ = hash_words(texts)
                 for d in range(len(texts)):
                     words = h[first[d] : first[d + 1]]

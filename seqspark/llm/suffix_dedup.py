@@ -191,7 +191,7 @@ def _slices(column: pa.Array) -> Iterator[tuple[list[bytes], np.ndarray, bytes]]
         yield texts, np.cumsum([0, *[len(t) + 1 for t in texts]]), data
 
 
-SEGMENTS = "bucket int, doc binary, owner binary, start binary, size binary, turn binary, data binary, grp int, owners binary, keys binary"
+SEGMENTS = "bucket int, doc binary, owner binary, start binary, size binary, turn binary, data binary, grp int, owners binary, keys binary, naming boolean"
 _NAMES = [c.split()[0] for c in SEGMENTS.split(", ")]
 
 
@@ -239,11 +239,11 @@ def _segments(cand: DataFrame, buckets: int) -> DataFrame:
                 for c, v in zip(cols, (int(k), x.planes(doc[s]), x.planes(owner[s]), x.planes(start[s]), x.planes(sizes), turn[s].tobytes(), data[take].tobytes()), strict=True):
                     c.append(v)
             n = len(cols[0])
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]], pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]], pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.bool_())], names=_NAMES)
 
         for b in batches:
             docs, owners, keys, k = b.column("doc_id").to_pylist(), b.column("t1").to_pylist(), b.column("keys").to_pylist(), 0
-            for texts, at, data in _slices(b.column("text")):
+            for texts, at, data in _slices(x.unzipped(b.column("text"))):
                 h, least, sums = minimisers(data)
                 inverse = w._powers(w._INVERSE, len(data) + 1)
                 for d in range(len(texts)):
@@ -317,7 +317,7 @@ def _sorted_out(rows: DataFrame, partitions: int, buckets: int) -> DataFrame:
 
         for b in batches:
             settled = b.column("grp").is_valid()
-            yield b.filter(settled).select(["grp", "owners", "keys"])
+            yield b.filter(settled).select(["grp", "owners", "keys", "naming"])
             b = b.filter(pa.compute.invert(settled))
             for bucket, *part in zip(*[b.column(k).to_pylist() for k in range(7)], strict=True):
                 if bucket != now:
@@ -390,7 +390,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, s in zip(b.column("text").cast(pa.large_binary()).to_pylist(), b.column("spans").to_pylist(), strict=True):
+            for text, s in zip(x.unzipped(b.column("text")).to_pylist(), b.column("spans").to_pylist(), strict=True):
                 n, runs, kept = cut_out(text, s)
                 out.append((n, runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if kept_text else None))
             n, runs, sha, kept = zip(*out, strict=True) if out else ((), (), (), ())
