@@ -101,7 +101,8 @@ def candidates(docs: DataFrame, replies: DataFrame, classes: DataFrame) -> DataF
     want = classes.join(r, F.col("t1") == F.col("_o")).select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "rep", "keys")
     want = want.dropDuplicates(["_t1", "_t2"])  # of a class that several tasks met, all got the same
     got = x.zipped(docs).join(want, (F.col("doc_id") == F.col("rep")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")))
-    return materialize(got.select("doc_id", "t1", "t2", "text", "keys"), "candidates")
+    # (equal rows with the smallest id stand for each other)
+    return materialize(got.select("doc_id", "t1", "t2", "text", "keys").dropDuplicates(["doc_id", "t1", "t2"]), "candidates")
 
 
 def word_window_dedup(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", kept_text: bool = False) -> DataFrame:

@@ -184,6 +184,11 @@ def minimisers(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, least, sums
 
 
+def spread(least: np.ndarray) -> np.ndarray:
+    """Minimisers as even keys: being minima they crowd at small values, which would make the first buckets large."""
+    return mix64(least ^ np.uint64(0x5DEECE66D1234567))
+
+
 def _slices(column: pa.Array) -> Iterator[tuple[list[bytes], np.ndarray, bytes]]:
     """Texts, where each begins in the joined bytes, and these."""
     for texts in w.slices(column):
@@ -250,7 +255,7 @@ def _segments(cand: DataFrame, buckets: int) -> DataFrame:
                     n = len(texts[d]) - WIDTH + 1
                     if n > 0:
                         m = least[at[d] : at[d] + n]
-                        live = np.isin(m & MASK, x.key_set(keys[k]))
+                        live = np.isin(spread(m) & MASK, x.key_set(keys[k]))
                         edge = np.ones(n + 1, bool)
                         edge[1:n] = (m[1:] != m[:-1]) | (live[1:] != live[:-1])
                         cut = np.flatnonzero(edge)
@@ -266,7 +271,7 @@ def _segments(cand: DataFrame, buckets: int) -> DataFrame:
                             lo, hi = at[d] + first, at[d] + last + WIDTH
                             ident = mix64((sums[hi] - sums[lo]) * inverse[lo])
                             take = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                            held.append((np.int64(docs[k]), np.int64(owners[k]), first.astype(np.int64), size.astype(np.int64), ((place - first) % PERIOD).astype(np.uint8), value, ident, np.frombuffer(data, np.uint8)[take].tobytes()))
+                            held.append((np.int64(docs[k]), np.int64(owners[k]), first.astype(np.int64), size.astype(np.int64), ((place - first) % PERIOD).astype(np.uint8), spread(value), ident, np.frombuffer(data, np.uint8)[take].tobytes()))
                             total += int(size.sum())
                             if total > HELD:
                                 total = 0
@@ -368,7 +373,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             owners, k = b.column("t1").to_pylist(), 0
             for texts, at, data in _slices(b.column("text")):
                 _, least, _ = minimisers(data)
-                least = least & MASK
+                least = spread(least) & MASK
                 for d in range(len(texts)):
                     n = len(texts[d]) - WIDTH + 1
                     if n > 0 and owners[k] not in seen:
