@@ -305,7 +305,7 @@ def test_quality(docs, rows, empty):
     assert all(not g[7] for g in got if g[6]) and all(g[7] for g in got if not g[6])
     # a line in many documents is removed, one that is most of a document rejects it
     kept = {r.doc_id: r.text for r in quality_filter(docs, min_docs=5).collect()}
-    shared = [d for d, t in rows if t and t.startswith("Shared line of words here\n")]
+    shared = [d for d, t in rows if d % 3 and t and t.startswith("Shared line of words here\n")]  # ten in each of two hosts
     assert all("Shared line" not in kept[d] for d in shared)
     assert quality_rules(empty).count() == 0
 
