@@ -117,7 +117,7 @@ class Bpe:
 
     def _learn(self, parts: set[str]) -> None:
         """Brings the ids of all ``parts`` into the young table."""
-        new = parts - self.young.keys()
+        new = parts.difference(self.young)
         if len(self.young) + len(new) > REMEMBERED:
             self.old, self.young, new = self.young, {}, parts
         plain = []
@@ -125,12 +125,13 @@ class Bpe:
             found = self.old.get(p)
             if found is not None:
                 self.young[p] = found
-            elif "\n" in p or "<|" in p or not _PLAIN.fullmatch(p):
-                self.young[p] = self.by_library(p)
-            elif p:
-                plain.append(p)
+            elif "<|" not in p and (p.isascii() and p.isprintable() or "\n" not in p and _PLAIN.fullmatch(p)):
+                if p:
+                    plain.append(p)
+                else:
+                    self.young[p] = b""
             else:
-                self.young[p] = b""
+                self.young[p] = self.by_library(_MARKED.get(p, p))
         if plain:
             self.young.update(zip(plain, self._merged(plain), strict=True))
 
@@ -142,8 +143,15 @@ class Bpe:
             return None
         if "  " in text or "\n " in text or " \n" in text or "\n\n" in text:
             return _PARTS.findall(text)
-        first, *parts = text.replace("\n", " \n").split(" ")
-        return [first, *[p if p[:1] == "\n" else " " + p for p in parts]]
+        out: list[str] = []
+        for line in text.split("\n"):
+            # a comma or full stop between a word and a space is a piece of its own
+            first, *parts = _COMMA.sub(" \x00 ", _STOP.sub(" \x01 ", line)).split(" ")
+            out.append(first)
+            out += [" " + p for p in parts]
+            out.append("\n")
+        out.pop()
+        return out
 
     def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of whole texts, no special tokens added, nothing cut off; null is empty."""
@@ -167,7 +175,10 @@ class Bpe:
         return next(self.encode_many([text]))
 
 
-_OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
+#: Parts that stand for a comma and a full stop without a space before them.
+_MARKED = {" \x00": ",", " \x01": "."}
+_COMMA, _STOP = re.compile(r",(?<=[^\W_],) "), re.compile(r"\.(?<=[^\W_]\.) ")
+_OTHER_SPACE = re.compile("[\x00\x01\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
 
 
 @lru_cache(maxsize=2)

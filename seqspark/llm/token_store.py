@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqspark.llm.bpe import load
-from seqspark.llm.common import mix64, running_total
+from seqspark.llm.common import mix64, powers, running_total
 
 #: Ids that the rolling hash sees, and chunk sizes in ids: least, usual, most.
 ROLL, LEAST, USUAL, MOST = 16, 128, 1024, 8192
@@ -48,10 +48,11 @@ def boundaries(ids: np.ndarray) -> list[int]:
     if n <= LEAST:
         return [n] if n else []
     h = mix64(ids.astype(np.uint64) + np.uint64(1))
-    # a sum over the last ROLL ids, each weighted by its distance: rolls on by one multiplication and one addition
-    acc = np.zeros(n - ROLL + 1, np.uint64)
-    for k in range(ROLL):
-        acc = acc * np.uint64(0x5851F42D4C957F2D) + h[k : n - ROLL + 1 + k]
+    # a polynomial over ROLL ids in a row, from running sums
+    up, down = _powers(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(h * up, out=sums[1:])
+    acc = mix64((sums[ROLL:] - sums[: n - ROLL + 1]) * down[: n - ROLL + 1])
     marks = np.flatnonzero((acc >> np.uint64(64 - (USUAL - 1).bit_length())) == 0) + ROLL
     ends, at = [], 0
     for m in [*marks.tolist(), n]:
@@ -65,6 +66,19 @@ def boundaries(ids: np.ndarray) -> list[int]:
     return ends
 
 
+_BASE = 0x5851F42D4C957F2D
+_kept: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the rolling hash's base and of its inverse; enough for usual documents are kept."""
+    if n > 1 << 15:
+        return powers(_BASE, n), powers(pow(_BASE, -1, 1 << 64), n)
+    if not _kept:
+        _kept.extend((powers(_BASE, 1 << 15), powers(pow(_BASE, -1, 1 << 64), 1 << 15)))
+    return _kept[0][:n], _kept[1][:n]
+
+
 def merkle(leaves: list[bytes]) -> bytes:
     """Root of a binary hash tree; an odd node moves up as it is."""
     level = [hashlib.sha256(b"\0" + x).digest() for x in leaves] or [hashlib.sha256(b"").digest()]
