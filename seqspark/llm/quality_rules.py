@@ -31,6 +31,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqspark.llm.common import materialize
+
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -107,18 +109,17 @@ def boilerplate_lines(df: DataFrame, text_col: str, host_col: str, min_docs: int
     both = let(lines, lambda x: F.struct(F.xxhash64(F.array_min(x)).alias("doc"), F.array_distinct(F.transform(x, lambda y: F.xxhash64(y))).alias("lines")))
     rows = df.select(F.col(host_col).alias("_host"), both.alias("_both")).where(F.size("_both.lines") > 0)
     rows = rows.select("_host", F.col("_both.doc").alias("_doc"), F.col("_both.lines").alias("_lines"))
-    hosts = rows.select("_host", "_doc").distinct().groupBy("_host").agg(F.count("*").alias("_docs"))
-    held = rows.select("_host", "_doc", F.explode("_lines").alias("_line")).distinct().groupBy("_host", "_line").agg(F.count("*").alias("_n"))
-    held = held.where(F.col("_n") > min_docs).withColumnRenamed("_host", "_h2")
-    over = held.join(hosts, F.col("_h2").eqNullSafe(F.col("_host"))).where(F.col("_n") > max_share * F.col("_docs"))
+    # a null line in every document counts the host's documents in the same pass
+    each = rows.select("_host", "_doc", F.explode(F.concat("_lines", F.array(F.lit(None).cast("long")))).alias("_line")).distinct()
+    held = materialize(each.groupBy("_host", "_line").agg(F.count("*").alias("_n")).where((F.col("_n") > min_docs) | F.col("_line").isNull()), "lines")
+    hosts = held.where("_line is null").select(F.col("_host").alias("_h2"), F.col("_n").alias("_docs"))
+    over = held.where("_line is not null").join(hosts, F.col("_host").eqNullSafe(F.col("_h2"))).where(F.col("_n") > max_share * F.col("_docs"))
     return over.groupBy("_host").agg(F.collect_set("_line").alias("_bad"))
 
 
 def judged(df: DataFrame, text_col: str = "text", host_col: str = "source", max_loss: float = 0.5, **limits) -> DataFrame:
     """``df`` with the base counts, ``base_failed``, ``kept`` and ``_bad``, the line hashes that its host loses."""
     bad = boilerplate_lines(df, text_col, host_col, **limits)
-    from seqspark.llm.common import materialize
-
     bad = materialize(bad.withColumnRenamed("_host", "_bad_host"), "boilerplate")
     n = bad.agg(F.coalesce(F.sum(F.size("_bad")), F.lit(0)) + F.count("*")).first()[0]
     side = F.broadcast(bad) if n <= BROADCAST_LINES else bad
