@@ -5,8 +5,8 @@ to single spaces, trimmed) and hashed. For each host the distinct documents of
 each line are counted. A line in more than ``max(min_docs, max_share * documents
 of the host)`` documents is boilerplate and removed; a document that loses more
 than ``max_loss`` of its words that way is depleted and rejected. Copies of one
-document count as one document: a document stands by its least line, which its
-copies share.
+document count as one document: a document stands by a hash of all its
+normalised lines in their order, which its copies share.
 
 Base rules come first: fewer than 50 words, or over half of the words in 3-word
 windows that the text repeats, fail a document.
@@ -105,8 +105,8 @@ def base_rules(df: DataFrame, text: Column, min_words: int = 50) -> DataFrame:
 
 def boilerplate_lines(df: DataFrame, text_col: str, host_col: str, min_docs: int = 20, max_share: float = 0.1) -> DataFrame:
     """Of each host (``_host``) the line hashes above the limits (``_bad``, an array) and their number."""
-    lines = F.transform(lines_of(F.coalesce(F.col(text_col), F.lit(""))), normal_line)
-    both = let(lines, lambda x: F.struct(F.xxhash64(F.array_min(x)).alias("doc"), F.array_distinct(F.transform(x, lambda y: F.xxhash64(y))).alias("lines")))
+    lines = F.transform(lines_of(F.coalesce(F.col(text_col), F.lit(""))), line_hash)
+    both = let(lines, lambda x: F.struct(F.xxhash64(x).alias("doc"), F.array_distinct(x).alias("lines")))
     rows = df.select(F.col(host_col).alias("_host"), both.alias("_both")).where(F.size("_both.lines") > 0)
     rows = rows.select("_host", F.col("_both.doc").alias("_doc"), F.col("_both.lines").alias("_lines"))
     # a null line in every document counts the host's documents in the same pass

@@ -310,6 +310,18 @@ def test_quality(docs, rows, empty):
     assert quality_rules(empty).count() == 0
 
 
+def test_boilerplate_that_sorts_first(spark):
+    line, other = "(c) all rights reserved by the owners of this site", "- share " + " ".join(f"link{j}" for j in range(60))
+    body = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    texts = [f"{body(k)}\n{line}" for k in range(30)] + [f"{line}\n{line} {k}\n{body(100 + k)[:20]}" for k in range(3)]
+    texts += [f"{other}\n{k}" for k in range(30)]  # most of the words are boilerplate
+    texts += [f"{body(999)}\n# of one document"] * 40  # copies count once
+    docs = spark.createDataFrame([(k, t, "en", "one", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id: r.text for r in quality_filter(docs).collect()}
+    assert all(kept[k] == body(k) for k in range(30)) and not any(k in kept for k in range(33, 63))
+    assert all(kept[k] == texts[k] for k in range(63, 103))
+
+
 def test_url_filter(spark):
     urls = ["http://a.ORG/x", "https://example.org/es/1", "ftp://m.example.org/en/17?x", "http://example.org/en/2#f", "http://shop.com/de/1", "http://com/fr/", "http://xcom/de/", None, "no scheme", "http://example.org", "x://y://z.org/", "http://listed.net/p"]
     pages = spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls + urls[:2])], "page_id long, url string, host string")
