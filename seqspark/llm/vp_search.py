@@ -12,7 +12,9 @@ over all queries that are still at a node; each first visits the leaf that it
 falls into.
 
 Candidates are ranked by the double-precision inner product of the original
-vectors, summed in order of the components, ties by the smaller id.
+vectors, summed in order of the components, ties by the smaller id. Of a shard
+every row stays a candidate that rounding may put among the k best; equal
+vectors are one class there, which stands for its smallest ids.
 
 Scale. Vectors are dealt to shards by a hash of their id, a bounded number to each; each tree is built once for each shard and
 group of query blocks and searched with the blocks of queries (a stated query set against all rows).
@@ -28,7 +30,7 @@ empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ from seqspark.llm.common import materialize
 
 #: Vectors in a shard and queries in a block, about; and vectors in a leaf.
 SHARD, BLOCK, LEAF = 1 << 14, 1 << 11, 512
+#: Candidates that a search holds before it drops what the k best so far leave behind.
+PAIRS = 1 << 18
 
 
 class Tree:
@@ -74,42 +78,65 @@ class Tree:
         self.nodes[k] = (lo, hi, p, float(d[:mid].min()), float(d[:mid].max()), float(d[mid:].min()), float(d[mid:].max()), near, far)
         return k
 
-    def search(self, queries: np.ndarray, own: list[np.ndarray], k: int, relax: float) -> tuple[np.ndarray, np.ndarray]:
-        """For each query the rows and squared distances of its k nearest (or fewer: row -1); ``own``: rows to skip."""
-        n = len(queries)
-        rows = np.full((n, k), -1, np.int64)
-        dist = np.full((n, k), np.inf)
+    def search(self, queries: np.ndarray, own: list[np.ndarray], k: int, relax: float, cut: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, row) with all rows whose inner product may be among the query's k largest, ties included; ``own``: rows to skip.
+
+        The last component of points and queries only makes the metric. ``cut``
+        says which pairs to hold, by exact score and id, where very many tie.
+        """
+        n, dim = len(queries), self.points.shape[1]
+        top = np.full((n, k), -np.inf)  # the k largest lower bounds of inner products; the first is the least
         qn = (queries * queries).sum(axis=1)
         skip = np.repeat(np.arange(n), [len(o) for o in own]), np.concatenate([*own, np.empty(0, np.int64)]).astype(np.int64)
         place = np.empty(len(self.order), np.int64)
         place[self.order] = np.arange(len(self.order))
         done = [np.zeros(n, bool) for _ in self.nodes]
-        # rounding: squared distances this close are not told apart while searching
-        slack = 1e-9 * (float(self.norms.max()) + float(qn.max())) if n and len(self.points) else 0.0
+        held: list[list[np.ndarray]] = [[], [], []]  # queries, rows, upper bounds of inner products
+        many = 0
+        # rounding of an inner product for each unit of both norms, and of a squared distance
+        unit = 4 * (dim + 8) * np.finfo(float).eps
+        most = float(self.norms.max()) if len(self.points) else 0.0
+        slack = 4 * unit * (most + qn)
+        lengths = np.sqrt((self.points[:, :-1] ** 2).sum(axis=1))
+
+        def settle(exact: bool) -> None:
+            nonlocal many
+            at, r, up = (np.concatenate(x) for x in held) if held[0] else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+            live = ~(up < top[at, 0])
+            at, r, up = at[live], r[live], up[live]
+            if exact and len(at) > PAIRS // 2:
+                live = cut(at, r)
+                at, r, up = at[live], r[live], up[live]
+            held[0], held[1], held[2] = [at], [r], [up]
+            many = len(at)
 
         def visit(node: tuple, q: np.ndarray) -> None:
+            nonlocal many
             span = self.order[node[0] : node[1]]
-            d = qn[q, None] + self.norms[span][None, :] - 2.0 * (queries[q] @ self.points[span].T)
+            s = queries[q, :-1] @ self.points[span, :-1].T
+            off = unit * np.sqrt(qn[q])[:, None] * lengths[span][None, :] + np.finfo(float).tiny
             i, r = skip[0][np.isin(skip[0], q)], skip[1][np.isin(skip[0], q)]
             at = place[r] - node[0]
             here = (at >= 0) & (at < len(span))
             line = np.empty(n, np.int64)
             line[q] = np.arange(len(q))
-            d[line[i[here]], at[here]] = np.inf
+            s[line[i[here]], at[here]] = -np.inf
             # only queries that gain something are merged
-            gain = d.min(axis=1) < dist[q, -1]
-            q, d = q[gain], d[gain]
+            gain = ~((s + off).max(axis=1) < top[q, 0])
+            q, s, off = q[gain], s[gain], off[gain]
             if len(q) == 0:
                 return
-            if d.shape[1] > k:
-                cut = np.argpartition(d, k - 1, axis=1)[:, :k]
-                d, r = np.take_along_axis(d, cut, axis=1), span[cut]
-            else:
-                r = np.broadcast_to(span, d.shape)
-            both, ids = np.concatenate([dist[q], d], axis=1), np.concatenate([rows[q], r], axis=1)
-            by = np.argsort(both, axis=1, kind="stable")[:, :k]
-            dist[q] = np.take_along_axis(both, by, axis=1)
-            rows[q] = np.take_along_axis(ids, by, axis=1)
+            low = s - off
+            if low.shape[1] > k:
+                low = np.partition(low, low.shape[1] - k, axis=1)[:, -k:]
+            top[q] = np.sort(np.concatenate([top[q], low], axis=1), axis=1)[:, -k:]
+            up = s + off
+            i, j = np.nonzero(~(up < top[q, :1]) & ~(s == -np.inf))
+            for x, y in zip(held, (q[i], span[j], up[i, j]), strict=True):
+                x.append(y)
+            many += len(i)
+            if many > PAIRS:
+                settle(True)
 
         def home(at: int, q: np.ndarray) -> None:
             node = self.nodes[at]
@@ -130,18 +157,20 @@ class Tree:
                 if len(q):
                     visit(node, q)
                 return
-            d = np.sqrt(np.maximum(qn[q] + self.norms[node[2]] - 2.0 * (queries[q] @ self.points[node[2]]), 0.0))
+            d = np.maximum(qn[q] + self.norms[node[2]] - 2.0 * (queries[q] @ self.points[node[2]]), 0.0)
+            least, largest = np.sqrt(np.maximum(d - slack[q], 0.0)), np.sqrt(d + slack[q])
             for lo, hi, child in ((node[3], node[4], node[7]), (node[5], node[6], node[8])):
-                gap = np.maximum(np.maximum(lo - d, d - hi), 0.0)
-                live = gap * gap <= relax * relax * dist[q, -1] + slack
+                gap = np.maximum(np.maximum(np.sqrt(np.maximum(lo * lo - slack[q], 0.0)) - largest, least - np.sqrt(hi * hi + slack[q])), 0.0)
+                reach = np.maximum(most + qn[q] - 2.0 * top[q, 0], 0.0)
+                live = ~(gap * gap > relax * relax * reach + slack[q])
                 if live.any():
                     descend(child, q[live])
 
         if n and len(self.points):
             home(0, np.arange(n))
             descend(0, np.arange(n))
-        rows[~np.isfinite(dist)] = -1
-        return rows, dist
+        settle(False)
+        return held[0][0], held[1][0]
 
 
 def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -152,6 +181,23 @@ def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def classes(x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal vectors as classes: a row of each, where its ids begin, and the ids in order.
+
+    Of one id k copies and of one class 2 * k ids stay: the k smallest that are not a query's own are among them.
+    """
+    if len(x) == 0:
+        return np.empty(0, np.int64), np.zeros(1, np.int64), ids
+    _, first, cls = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    by = np.lexsort((ids, cls))
+    for same, most in (((cls, ids), k), ((cls,), 2 * k)):
+        start = np.ones(len(by), bool)
+        start[1:] = np.any([key[by][1:] != key[by][:-1] for key in same], axis=0)
+        at = np.arange(len(by))
+        by = by[at - np.maximum.accumulate(np.where(start, at, 0)) < most]
+    return first, np.searchsorted(cls[by], np.arange(len(first) + 1)), ids[by]
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<f8") if len(column) else np.empty(0)
 
@@ -188,21 +234,33 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, relax: float = 1.0, id_
         def solve() -> pa.RecordBatch:
             asked, ids, x = (np.concatenate([p[j] for p in parts]) for j in range(3))
             q_ids, q, ids, x = ids[asked], x[asked], ids[~asked], x[~asked]
+            first, begin, ids = classes(x, ids, k)
+            x = x[first]
             extra = np.sqrt(np.maximum(largest - (x * x).sum(axis=1), 0.0))
             tree = Tree(np.concatenate([x, extra[:, None]], axis=1))
-            by = np.argsort(ids, kind="stable")
-            lo, hi = np.searchsorted(ids[by], q_ids, "left"), np.searchsorted(ids[by], q_ids, "right")
+            # a query skips the classes that hold no id but its own
+            least, most = np.minimum.reduceat(ids, begin[:-1]) if len(x) else ids, np.maximum.reduceat(ids, begin[:-1]) if len(x) else ids
+            only = np.flatnonzero(least == most)
+            by = only[np.argsort(least[only], kind="stable")]
+            lo, hi = np.searchsorted(least[by], q_ids, "left"), np.searchsorted(least[by], q_ids, "right")
             own = [by[a:b] for a, b in zip(lo, hi, strict=True)]
-            # a few more than k, for ties that rounding may reorder
-            rows, _ = tree.search(np.concatenate([q, np.zeros((len(q), 1))], axis=1), own, min(k + 12, max(len(ids), 1)), relax)
-            at, _ = np.nonzero(rows >= 0)
-            hit = rows[rows >= 0]
-            score = in_order(q[at], x[hit])
-            best = np.lexsort((ids[hit], -score, at))
-            at, hit, score = at[best], hit[best], score[best]
-            place = np.arange(len(at)) - np.searchsorted(at, at)
-            keep = place < k
-            return pa.RecordBatch.from_arrays([pa.array(q_ids[at[keep]]), pa.array(ids[hit[keep]]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
+
+            def ranked(at: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, ...]:
+                """Of pairs of a query and a class: query, id, score and pair of the k best rows, by exact score, then id."""
+                score = np.concatenate([in_order(q[at[c : c + PAIRS // 8]], x[cls[c : c + PAIRS // 8]]) for c in range(0, len(at), PAIRS // 8)] or [np.empty(0)])
+                n = begin[cls + 1] - begin[cls]
+                pair = np.repeat(np.arange(len(at)), n)
+                hit = ids[np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[cls], n)]
+                other = hit != q_ids[at[pair]]
+                pair, hit = pair[other], hit[other]
+                best = np.lexsort((hit, -score[pair], at[pair]))
+                pair, hit = pair[best], hit[best]
+                a = at[pair]
+                keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+                return a[keep], hit[keep], score[pair[keep]], pair[keep]
+
+            at, hit, score, _ = ranked(*tree.search(np.concatenate([q, np.zeros((len(q), 1))], axis=1), own, k, relax, lambda at, cls: np.unique(ranked(at, cls)[3])))
+            return pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(hit), pa.array(score)], names=["query_id", "vec_id", "score"])
 
         for b in batches:
             key = np.stack([b.column("shard").to_numpy(zero_copy_only=False), b.column("block").to_numpy(zero_copy_only=False)], axis=1)

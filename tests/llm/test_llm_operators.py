@@ -263,6 +263,22 @@ def test_nearest(spark):
     assert nearest(df.where("vec_id < 0")).count() == 0
 
 
+def test_nearest_of_many_ties(spark):
+    rng = np.random.default_rng(4)
+    v = rng.integers(-2, 3, size=(900, 4)).astype(float)  # many equal scores
+    v[rng.permutation(900)[:300]] = [2.0, 2.0, 2.0, 1.0]
+    v[:, 0] += 5
+    for far in (0.0, 1e9):  # one very large vector
+        data = [(k, v[k].tolist()) for k in range(900)] + [(40, v[40].tolist())] * 30 + [(901, [far, 1.0, 1.0, 1.0])]
+        score = lambda a, b: sum(p * q for p, q in zip(a, b, strict=True))
+        want = []
+        for q in range(0, 900, 20):
+            best = sorted((-score(v[q].tolist(), y), k) for k, y in data if k != q)[:20]
+            want += [(q, r + 1, k, -s) for r, (s, k) in enumerate(best)]
+        got = sorted(tuple(r) for r in nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>"), shard=400, block=30).where("query_id <> 40").collect())
+        assert got == sorted(w for w in want if w[0] != 40)
+
+
 def test_source_mix(docs, rows, empty):
     got = mix_counts(docs).collect()
     assert sorted((r.doc_id, r["size"]) for r in got) == sorted((d, len(_words(t))) for d, t in rows)
