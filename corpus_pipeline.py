@@ -11,8 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import materialize
-from seqspark.llm.ngram_join import ngram_jaccard_components
+from seqspark.llm.common import materialize, row_key
+from seqspark.llm.ngram_join import keyed_components
 from seqspark.llm.packing import pack_documents
 from seqspark.llm.quality_rules import quality_filter
 from seqspark.llm.source_mix import mix_documents
@@ -32,10 +32,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by similarity 0.8 of five-word shingles the document with the smallest id."""
-    groups = ngram_jaccard_components(docs, size=5, num=4, den=5)
-    stay = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stay, F.col("doc_id") == F.col("_stays"), "left_semi")
+    """Of each group linked by similarity 0.8 of five-word shingles the document with the smallest id (where none has one, one of them)."""
+    groups = keyed_components(docs, size=5, num=4, den=5)
+    stay = groups.where(F.col("key") == F.col("root")).select(F.col("key").alias("_stays"), "no_id").distinct()
+    with_id = docs.join(stay.where("not no_id"), F.col("doc_id") == F.col("_stays"), "left_semi")
+    keyed = docs.where("doc_id is null").withColumn("_key", row_key(F.col("doc_id"), F.col("text"))).dropDuplicates(["_key"])
+    return with_id.union(keyed.join(stay.where("no_id"), F.col("_key") == F.col("_stays"), "left_semi").drop("_key"))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def row_key(id_: Column, text: Column) -> Column:
+    """The id; of a row without one a hash of its text, from 2**62 up, so after usual ids. Equal texts without an id share it."""
+    return F.coalesce(id_.cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.lit("no id"), F.coalesce(text, F.lit(""))), 2))
+
+
 def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts have about ``most`` bytes together."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -25,7 +25,8 @@ and the sketch.
 
 Edge cases. A null or wordless text has no tokens, links with nothing and is
 its own component. A text with fewer words than n is one token. Repeated rows
-each get their result; rows that share an id count as one node. Texts of any
+each get their result; rows that share an id count as one node. A row without an id is a node
+of its own (with the equal texts without one); a component without any id has a null id. Texts of any
 length are taken whole. An empty table gives an empty result. Columns other
 than id and text are ignored.
 """
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import materialize, mix64
+from seqspark.llm.common import materialize, mix64, row_key
 from seqspark.llm.graph import components
 from seqspark.llm.words import hashed
 
@@ -196,15 +197,15 @@ def _survey(df: DataFrame, size: int) -> DataFrame:
                     add()
             halves = np.frombuffer(b"".join(s), dtype="<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(hist, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "s1", "s2", "hist", "block", "counts"]
+                [b.column(0), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(hist, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary()), b.column(2)], names=["doc_id", "n", "s1", "s2", "hist", "block", "counts", "no_id"]
             )
         add()
         k = [k for k in range(1 << (SKETCH_BITS - BLOCK_BITS)) if counts[k << BLOCK_BITS : (k + 1) << BLOCK_BITS].any()]
         packed = [zlib.compress(counts[i << BLOCK_BITS : (i + 1) << BLOCK_BITS].astype("<u4").tobytes(), 1) for i in k]
         none = pa.nulls(len(k), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(k), pa.binary()), pa.array(k, pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "n", "s1", "s2", "hist", "block", "counts"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(k), pa.binary()), pa.array(k, pa.int32()), pa.array(packed, pa.binary()), pa.nulls(len(k), pa.bool_())], names=["doc_id", "n", "s1", "s2", "hist", "block", "counts", "no_id"])
 
-    return df.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, hist binary, block int, counts binary")
+    return df.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, hist binary, block int, counts binary, no_id boolean")
 
 
 def _levels(survey: DataFrame) -> np.ndarray:
@@ -348,11 +349,18 @@ def _grouped_links(members: DataFrame, keys: list[str], size: int, num: int, den
 
 def ngram_jaccard_components(df: DataFrame, size: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """One row for each row: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest id reachable by links of similarity num / den or more)."""
+    out = keyed_components(df, size, num, den, id_col, text_col, group_shingles)
+    return out.select(F.when(~F.col("no_id"), F.col("key")).alias("doc_id"), "n_shingles", F.when(~F.col("root_no_id"), F.col("root")).alias("component_id"))
+
+
+def keyed_components(df: DataFrame, size: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """One row for each row: ``key`` (``row_key``), ``no_id``, ``n_shingles``, ``root`` (a key of its component: the smallest id, else the smallest key), ``root_no_id``."""
     spark = df.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = df.select(row_key(F.col(id_col), F.col(text_col)).alias("doc_id"), F.col(text_col).alias("text"), F.col(id_col).isNull().alias("no_id"))
     survey = materialize(_survey(docs, size), "survey")
-    sets = survey.where("block is null").select("doc_id", "n", "s1", "s2")
+    sets = survey.where("block is null").select("doc_id", "n", "s1", "s2", "no_id")
+    docs = docs.drop("no_id")
     levels = spark.sparkContext.broadcast(_levels(survey))
     rows = materialize(_prefixes(docs.select("text"), size, num, den, levels), "prefixes")
 
@@ -401,4 +409,10 @@ def ngram_jaccard_components(df: DataFrame, size: int = 5, num: int = 4, den: in
 
     classes = classes.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), F.coalesce("root", "rep").alias("component_id"))
     out = sets.join(classes, (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.select(F.col("doc_id").alias("key"), "no_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("root"))
+    if not sets.where("no_id").limit(1).count():
+        return out.withColumn("root_no_id", F.lit(False))
+    out = materialize(out, "keyed")
+    ids = out.groupBy(F.col("root").alias("_r")).agg(F.min(F.when(~F.col("no_id"), F.col("key"))).alias("_least"))
+    out = out.join(ids, F.col("root") == F.col("_r"))
+    return out.select("key", "no_id", "n_shingles", F.coalesce("_least", "root").alias("root"), F.col("_least").isNull().alias("root_no_id"))

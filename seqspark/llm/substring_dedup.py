@@ -95,12 +95,13 @@ def candidates(docs: DataFrame, replies: DataFrame, classes: DataFrame) -> DataF
     """One row for each class with replies: t1, t2, doc_id (the smallest), text (zstd), keys.
 
     ``classes`` has t1, t2, rep. The text is fetched by the smallest id, which
-    no number of copies makes a hot key.
+    no number of copies makes a hot key (copies that all lack an id share a key;
+    AQE splits that join).
     """
     r = x.by_owner(replies, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumnRenamed("owner", "_o")
     want = classes.join(r, F.col("t1") == F.col("_o")).select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "rep", "keys")
     want = want.dropDuplicates(["_t1", "_t2"])  # of a class that several tasks met, all got the same
-    got = x.zipped(docs).join(want, (F.col("doc_id") == F.col("rep")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")))
+    got = x.zipped(docs).join(want, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")))
     # (equal rows with the smallest id stand for each other)
     return materialize(got.select("doc_id", "t1", "t2", "text", "keys").dropDuplicates(["doc_id", "t1", "t2"]), "candidates")
 

@@ -21,7 +21,8 @@ smallest document's are settled there and not sent. So a passage of a third of a
 documents arrives once for each buffer, and no pairs are formed.
 
 Edge cases. A null text is empty. Texts under 50 bytes keep all. Matches within one document, or
-between rows that share an id, do not count. Repeated rows get the same result. Texts of any length
+between rows that share an id, do not count. A row without an id comes after those
+that have one, in the order of a hash of its text; equal texts without an id share it. Repeated rows get the same result. Texts of any length
 are taken whole, as UTF-8 bytes; a cut may fall inside a character
 (``kept_text`` drops such a character's rest). An empty table gives an empty result.
 """
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from seqspark.llm import exchange as x
 from seqspark.llm import words as w
-from seqspark.llm.common import materialize, mix64
+from seqspark.llm.common import materialize, mix64, row_key
 from seqspark.llm.substring_dedup import candidates, is_cover, with_class
 
 WIDTH, GRAM = 50, 20
@@ -364,7 +365,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each row: the id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` (and ``kept``, the text left, and ``row``, the input's row)."""
     spark = df.sparkSession
     partitions, buckets = int(spark.conf.get("spark.sql.shuffle.partitions")), x.buckets_for(spark)
-    docs = with_class(df, id_col, text_col, carry=kept_text)
+    docs = with_class(df, id_col, text_col, carry=kept_text).withColumn("given", F.col("doc_id")).withColumn("doc_id", row_key(F.col("given"), F.col("text")))
 
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -386,10 +387,10 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         yield from x.packed(batches, keys_of, buckets, within=False)
 
-    facts = docs.select("doc_id", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), *([F.col("text").alias("whole"), "row"] if kept_text else []))
+    facts = docs.select("doc_id", "given", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), *([F.col("text").alias("whole"), "row"] if kept_text else []))
     replies = x.repeated(docs.select("t1", "text").mapInArrow(fingerprints, x.PACKED), partitions, buckets, within=False)
     classes = docs.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"))
-    cand = candidates(docs.drop("row"), replies, classes)
+    cand = candidates(docs.drop("row", "given"), replies, classes)
     spans = x.by_owner(_sorted_out(_segments(cand, buckets), partitions, buckets), partitions, width=16).withColumnRenamed("owner", "_o").withColumnRenamed("keys", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,7 +410,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)) & (F.col("n_bytes") >= WIDTH)
     zero = F.lit(0).cast("long")
     cols = [
-        F.col("doc_id").alias(id_col), "n_bytes",
+        F.col("given").alias(id_col), "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("_n", zero)).alias("n_removed"),
         F.when(copy, F.lit(1).cast("long")).otherwise(F.coalesce("_runs", zero)).alias("n_spans"),
         F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("_sha", "sha")).alias("kept_sha256"),

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from seqspark.llm import bpe, packing, suffix_dedup, substring_dedup, token_store
 from seqspark.llm.common import shared_dir
@@ -352,6 +353,24 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter(pages, none).collect()} == {"allow"}
 
 
+def test_rows_without_id(spark, tmp_path):
+    import corpus_pipeline
+
+    text = lambda k, n=100: " ".join(f"w{k}x{j}" for j in range(n))
+    passage = text("p", 60)
+    data = [(1, text(1)), (None, text(1) + " end"), (None, text(2)), (None, text(2) + " end"), (None, text(3)), (None, text(3)), (4, text(4) + " " + passage), (None, text(5) + " " + passage)]
+    docs = spark.createDataFrame([(d, t, "en", "one", 0) for d, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()]
+    stays = {t for _, t in left}
+    assert len(left) == 5 and {text(1), text(3), data[6][1], data[7][1]} <= stays and len(stays & {data[2][1], data[3][1]}) == 1
+    got = Counter(tuple(r)[::2] for r in ngram_jaccard_components(docs, size=5, num=4, den=5).collect())
+    assert got == {(1, 1): 1, (None, 1): 1, (None, None): 5, (4, 4): 1}
+    words = {(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.word_window_dedup(docs.where(F.col("text").contains(passage))).collect()}
+    assert words == {(4, 160, 60), (None, 160, 60)}
+    whole = suffix_dedup.suffix_dedup_documents(docs.where(F.col("text").contains(passage))).collect()
+    assert {r.doc_id: passage in r.text for r in whole} == {4: True, None: False}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
