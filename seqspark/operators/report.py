@@ -38,7 +38,7 @@ def bootstrap_mean(results: DataFrame, key: str, value: str, resamples: int = 10
         if n == 0:
             return pd.DataFrame({"key": [str(pdf[key].iloc[0])], "n": [0], "mean": [float("nan")], "low": [float("nan")], "high": [float("nan")]})
         rng = random.Random(0)
-        means = sorted(sum(rng.choices(v, k=n)) / n for _ in range(resamples)) if n > 1 else [v[0]] * resamples
+        means = sorted(sum(rng.choice(v) for _ in v) / n for _ in range(resamples)) if n > 1 else [v[0]] * resamples
         at = lambda share: means[min(int(share * resamples), resamples - 1)]
         return pd.DataFrame({"key": [str(pdf[key].iloc[0])], "n": [n], "mean": [sum(v) / n], "low": [at(0.025)], "high": [at(0.975)]})
 

@@ -465,7 +465,7 @@ def anti_join_guard(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return report.bootstrap_mean(_results(spark, sf_dir), "lang", "quality", resamples=2000)
+    return report.bootstrap_mean(_results(spark, sf_dir), "lang", "quality")
 
 
 @query("""WITH v AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / 2) AS x FROM embeddings),

@@ -1,9 +1,12 @@
 """Operators on small tables: contracts, refusals, sources, streaming."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from seqspark.functions import cigar as cg
 from seqspark.operators import local, msa, pairwise
+from seqspark.plans import registry
 from seqspark.sources.fasta import read_fasta, write_fasta
 from seqspark.sources.tabular import read_pairs
 from seqspark.streaming.pairs import PAIRS, read_pair_stream, stream_edit_distance
@@ -57,3 +60,17 @@ def test_stream(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("pairs_out").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(60)
     assert sorted(r.edit_distance for r in spark.table("pairs_out").collect()) == [-1, 1]
+
+
+def test_bootstrap_is_the_reference(spark):
+    sf = "/root/testdata/sf0.001"
+    values = {}
+    for r in registry._results(spark, sf).select("lang", "quality").collect():
+        values.setdefault(str(r.lang), []).append(r.quality)
+    got = {r.key: (r.low, r.high) for r in registry.QUERIES["bootstrap_ci"](spark, sf).collect()}
+    for key, v in values.items():
+        v = sorted(float(x) for x in v if x is not None and x == x)
+        if len(v) > 1:
+            rng = random.Random(0)
+            means = sorted(sum(rng.choice(v) for _ in v) / len(v) for _ in range(10_000))
+            assert got[key] == (means[250], means[9750])
