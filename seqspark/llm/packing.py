@@ -3,9 +3,10 @@
 Method. Documents longer than the capacity are cut into full pieces and a rest.
 Pieces of one length are alike, so the packing is solved on the histogram of
 lengths, at most ``capacity`` numbers for any input. ``pack`` is bin
-completion: around the largest length left it enumerates undominated fillings
-(those whose items no other filling could hold in place of its own), best fit
-first, uses one as often as the counts allow, and goes on; it backtracks
+completion: around the largest length left it makes some fillings (exact pairs,
+exact triples of the 64 largest lengths, greedy ones; not all undominated ones),
+keeps ``KEPT`` that none of the others dominates, best fit first, uses one as
+often as the counts allow, and goes on; it backtracks
 depth first, prunes a branch whose waste already rules out fewer sequences than the
 incumbent has, and starts from the better of best-fit decreasing and the first
 dive. It stops at the lower bound or after a dive and ``nodes`` more steps. Each use exhausts some length's
