@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.llm import exchange as x
-from seqspark.llm.common import materialize, mix64, powers
-from seqspark.llm.words import hash_words, hashed, slices
+from seqspark.llm.common import discard, materialize, mix64, powers
+from seqspark.llm.words import hashed
 
 #: A difference cover modulo 21 (a perfect difference set).
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
@@ -84,9 +84,9 @@ def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
 
 
 def with_class(df: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
-    """``doc_id``, ``text`` (never null) and ``t1``, ``t2``, a 128-bit hash of the text (and ``row``, the input's row)."""
+    """``doc_id``, ``text`` (never null) and ``t1``, ``t2``, a 128-bit hash of the text (and ``row``, the input's other columns)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    row = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if carry else []
+    row = [F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col]).alias("row")] if carry else []
     out = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *row)
     return out.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit(7), F.col("text")))
 
@@ -98,12 +98,14 @@ def candidates(docs: DataFrame, replies: DataFrame, classes: DataFrame) -> DataF
     no number of copies makes a hot key (copies that all lack an id share a key;
     AQE splits that join).
     """
-    r = x.by_owner(replies, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumnRenamed("owner", "_o")
+    r = materialize(x.by_owner(replies, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumnRenamed("owner", "_o"), "replies")
     want = classes.join(r, F.col("t1") == F.col("_o")).select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "rep", "keys")
     want = want.dropDuplicates(["_t1", "_t2"])  # of a class that several tasks met, all got the same
     got = x.zipped(docs).join(want, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")))
     # (equal rows with the smallest id stand for each other)
-    return materialize(got.select("doc_id", "t1", "t2", "text", "keys").dropDuplicates(["doc_id", "t1", "t2"]), "candidates")
+    got = materialize(got.select("doc_id", "t1", "t2", "text", "keys").dropDuplicates(["doc_id", "t1", "t2"]), "candidates")
+    discard(r)
+    return got
 
 
 def word_window_dedup(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", kept_text: bool = False) -> DataFrame:
@@ -148,14 +150,11 @@ def word_window_dedup(df: DataFrame, window: int = 35, id_col: str = "doc_id", t
     def whole_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def keys_of(b: pa.RecordBatch):
             owners, keys, k = b.column("t1").to_pylist(), b.column("keys").to_pylist(), 0
-            for texts in slices(x.unzipped(b.column("text"))):
-                h, first, *_ = hash_words(texts)
-                for d in range(len(texts)):
-                    words = h[first[d] : first[d + 1]]
-                    key, at = anchors(words, window)
-                    starts = around(at[np.isin(key, x.key_set(keys[k]))], len(words), window)
-                    yield owners[k], window_hashes(words, starts, window), (window_hashes(words, starts, window, _C) >> np.uint64(32)).astype(np.uint32)
-                    k += 1
+            for words in hashed(x.unzipped(b.column("text"))):
+                key, at = anchors(words, window)
+                starts = around(at[np.isin(key, x.key_set(keys[k]))], len(words), window)
+                yield owners[k], window_hashes(words, starts, window), (window_hashes(words, starts, window, _C) >> np.uint64(32)).astype(np.uint32)
+                k += 1
 
         yield from x.packed(batches, keys_of, buckets, within=True)
 
@@ -163,23 +162,22 @@ def word_window_dedup(df: DataFrame, window: int = 35, id_col: str = "doc_id", t
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, k, n, sha, kept_ = b.column("found").to_pylist(), 0, [], [], []
-            for texts in slices(x.unzipped(b.column("text"))):
-                h, first, *_ = hash_words(texts)
-                for d in range(len(texts)):
-                    words = h[first[d] : first[d + 1]]
-                    starts = np.flatnonzero(np.isin(window_hashes(words, np.arange(len(words) - window + 1), window), x.key_set(keys[k]))) if len(words) >= window else np.empty(0, np.int64)
-                    gone = covered(starts, len(words), window)
-                    kept = b" ".join([w for w, g in zip(texts[d].split(), gone.tolist(), strict=True) if not g])
-                    n.append(int(gone.sum()))
-                    sha.append(hashlib.sha256(kept).hexdigest())
-                    kept_.append(kept.decode() if kept_text else None)
-                    k += 1
+            n, sha, kept_ = [], [], []
+            texts = x.unzipped(b.column("text"))
+            for text, keys, words in zip(texts, b.column("found").to_pylist(), hashed(texts), strict=True):
+                starts = np.flatnonzero(np.isin(window_hashes(words, np.arange(len(words) - window + 1), window), x.key_set(keys))) if len(words) >= window else np.empty(0, np.int64)
+                gone = covered(starts, len(words), window)
+                kept = b" ".join([w for w, g in zip(text.as_py().split(), gone.tolist(), strict=True) if not g])
+                n.append(int(gone.sum()))
+                sha.append(hashlib.sha256(kept).hexdigest())
+                kept_.append(kept.decode() if kept_text else None)
             yield pa.RecordBatch.from_arrays([b.column("t1"), b.column("t2"), pa.array(n, pa.int64()), pa.array(sha), pa.array(kept_, pa.string())], names=["_t1", "_t2", "_n", "_sha", "_kept"])
 
     changed = cand.join(found, F.col("t1") == F.col("_o")).select("t1", "t2", "text", "found").mapInArrow(remove, "_t1 long, _t2 long, _n long, _sha string, _kept string")
     copied = classes.where("copies > 1").select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.lit(True).alias("copied"))
-    verdicts = materialize(changed, "changed").withColumn("copied", F.lit(False))
+    changed = materialize(changed, "changed")
+    discard(cand)
+    verdicts = changed.withColumn("copied", F.lit(False))
     verdicts = verdicts.join(copied.select("_t1", "_t2"), ["_t1", "_t2"], "left_anti").select("_t1", "_t2", "_n", "_sha", "_kept", "copied")
     verdicts = verdicts.union(copied.select("_t1", "_t2", F.lit(None).cast("long"), F.lit(None).cast("string"), F.lit(None).cast("string"), "copied"))
     all_gone = F.coalesce("copied", F.lit(False)) & (F.col("n_words") >= window)

@@ -20,6 +20,9 @@ lose everything. Equal segments are combined on the map side: all but the
 smallest document's are settled there and not sent. So a passage of a third of all
 documents arrives once for each buffer, and no pairs are formed.
 
+A text travels twice: to its shared minimisers, and to the spans that it loses;
+what a step no longer needs is deleted.
+
 Edge cases. A null text is empty. Texts under 50 bytes keep all. Matches within one document, or
 between rows that share an id, do not count. A row without an id comes after those
 that have one, in the order of a hash of its text; equal texts without an id share it. Repeated rows get the same result. Texts of any length
@@ -38,10 +41,11 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqspark.llm import exchange as x
 from seqspark.llm import words as w
-from seqspark.llm.common import materialize, mix64, row_key
+from seqspark.llm.common import discard, materialize, mix64, row_key
 from seqspark.llm.substring_dedup import candidates, is_cover, with_class
 
 WIDTH, GRAM = 50, 20
@@ -84,20 +88,25 @@ def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def cover_ranks(words: np.ndarray, size: int, ends: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """For each position in the cover the rank of its next 64 bytes among the cover's positions; 0 elsewhere.
+    """For each position in the cover the rank of its suffix among the cover's positions; 0 elsewhere.
 
-    Suffixes lie between ``begins`` and ``ends``; positions further than a
-    period past an end hold padding and are not ranked.
+    Suffixes lie between ``begins`` and ``ends`` and end in padding; positions
+    further than a period past an end hold padding and are not ranked. Ranks
+    are doubled in length until no two are equal, or the longest segment is
+    spanned (what is still equal then are equal segments).
     """
     lo, hi = begins // PERIOD, (ends + PERIOD) // PERIOD + 1
     count = hi - lo
     row = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
     at = (np.unique(row)[:, None] * PERIOD + np.array(COVER)[None, :]).ravel()
     at = at[at < len(words) - 8]
-    rank = np.zeros(size + 64, np.uint64)
-    rank[at] = paired(dense(words[at]), dense(words[at + 8]))  # 16 bytes
-    rank[at] = paired(rank[at], rank[at + 16])  # 32
-    rank[at] = paired(rank[at], rank[at + 32])  # 64
+    longest = int((ends - begins).max()) if len(ends) else 0
+    rank = np.zeros(size + 2 * max(longest, 64), np.uint64)
+    rank[at] = paired(dense(words[at]), dense(words[at + 8]))
+    span = PERIOD
+    while span < longest and int(rank[at].max()) < len(at):
+        rank[at] = paired(rank[at], rank[at + span])  # of twice the length: at + span is in the cover too
+        span *= 2
     return rank
 
 
@@ -190,11 +199,28 @@ def spread(least: np.ndarray) -> np.ndarray:
     return mix64(least ^ np.uint64(0x5DEECE66D1234567))
 
 
-def _slices(column: pa.Array) -> Iterator[tuple[list[bytes], np.ndarray, bytes]]:
-    """Texts, where each begins in the joined bytes, and these."""
-    for texts in w.slices(column):
-        data = b"\n".join(texts)
-        yield texts, np.cumsum([0, *[len(t) + 1 for t in texts]]), data
+def _pieces(column: pa.Array) -> Iterator[tuple[list[tuple[int, int, bytes]], np.ndarray, bytes]]:
+    """Pieces (row, place in its text, bytes), where each begins in the joined bytes, and these.
+
+    A long text comes in pieces that overlap by a window less one byte, so no
+    window is lost and what is computed at a time stays bounded.
+    """
+    held, total = [], 0
+
+    def joined():
+        return held, np.cumsum([0, *[len(t) + 1 for _, _, t in held]]), b"\n".join([t for _, _, t in held])
+
+    for row, text in enumerate(column.cast(pa.large_binary())):
+        text = text.as_py() or b""
+        for at in range(0, max(1, len(text) - WIDTH + 1), w.SLICE):
+            piece = text[at : at + w.SLICE + WIDTH - 1]
+            if held and total + len(piece) > w.SLICE:
+                yield joined()
+                held, total = [], 0
+            held.append((row, at, piece))
+            total += len(piece) + 1
+    if held:
+        yield joined()
 
 
 SEGMENTS = "bucket int, doc binary, owner binary, start binary, size binary, turn binary, data binary, grp int, owners binary, keys binary, naming boolean"
@@ -248,36 +274,40 @@ def _segments(cand: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]], pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.bool_())], names=_NAMES)
 
         for b in batches:
-            docs, owners, keys, k = b.column("doc_id").to_pylist(), b.column("t1").to_pylist(), b.column("keys").to_pylist(), 0
-            for texts, at, data in _slices(x.unzipped(b.column("text"))):
+            docs, owners, keys = b.column("doc_id").to_pylist(), b.column("t1").to_pylist(), b.column("keys").to_pylist()
+            mine, live_keys = -1, None
+            for held_pieces, at, data in _pieces(x.unzipped(b.column("text"))):
                 h, least, sums = minimisers(data)
                 inverse = w._powers(w._INVERSE, len(data) + 1)
-                for d in range(len(texts)):
-                    n = len(texts[d]) - WIDTH + 1
-                    if n > 0:
-                        m = least[at[d] : at[d] + n]
-                        live = np.isin(spread(m) & MASK, x.key_set(keys[k]))
-                        edge = np.ones(n + 1, bool)
-                        edge[1:n] = (m[1:] != m[:-1]) | (live[1:] != live[:-1])
-                        cut = np.flatnonzero(edge)
-                        first, last = cut[:-1], cut[1:] - 1
-                        use = live[first]
-                        first, last = first[use], last[use]
-                        if len(first):
-                            value, size = m[first], last - first + WIDTH
-                            place = np.full(len(first), -1)
-                            for off in range(WIDTH - GRAM + 1):
-                                hit = (place < 0) & (h[at[d] + last + off] == value)
-                                place[hit] = last[hit] + off
-                            lo, hi = at[d] + first, at[d] + last + WIDTH
-                            ident = mix64((sums[hi] - sums[lo]) * inverse[lo])
-                            take = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                            held.append((np.int64(docs[k]), np.int64(owners[k]), first.astype(np.int64), size.astype(np.int64), ((place - first) % PERIOD).astype(np.uint8), spread(value), ident, np.frombuffer(data, np.uint8)[take].tobytes()))
-                            total += int(size.sum())
-                            if total > HELD:
-                                total = 0
-                                yield from flush()
-                    k += 1
+                for d, (k, place_in_text, piece) in enumerate(held_pieces):
+                    n = len(piece) - WIDTH + 1
+                    if n <= 0:
+                        continue
+                    if k != mine:
+                        mine, live_keys = k, x.key_set(keys[k])
+                    m = least[at[d] : at[d] + n]
+                    live = np.isin(spread(m) & MASK, live_keys)
+                    edge = np.ones(n + 1, bool)
+                    edge[1:n] = (m[1:] != m[:-1]) | (live[1:] != live[:-1])
+                    cut = np.flatnonzero(edge)
+                    first, last = cut[:-1], cut[1:] - 1
+                    use = live[first]
+                    first, last = first[use], last[use]
+                    if len(first) == 0:
+                        continue
+                    value, size = m[first], last - first + WIDTH
+                    place = np.full(len(first), -1)
+                    for off in range(WIDTH - GRAM + 1):
+                        hit = (place < 0) & (h[at[d] + last + off] == value)
+                        place[hit] = last[hit] + off
+                    lo, hi = at[d] + first, at[d] + last + WIDTH
+                    ident = mix64((sums[hi] - sums[lo]) * inverse[lo])
+                    take = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                    held.append((np.int64(docs[k]), np.int64(owners[k]), first.astype(np.int64) + place_in_text, size.astype(np.int64), ((place - first) % PERIOD).astype(np.uint8), spread(value), ident, np.frombuffer(data, np.uint8)[take].tobytes()))
+                    total += int(size.sum())
+                    if total > HELD:
+                        total = 0
+                        yield from flush()
         yield from flush()
 
     return cand.mapInArrow(run, SEGMENTS)
@@ -362,7 +392,7 @@ def suffix_dedup_documents(df: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept_text: bool = False) -> DataFrame:
-    """One row for each row: the id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` (and ``kept``, the text left, and ``row``, the input's row)."""
+    """One row for each row: the id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` (and ``kept``, the text left, and ``row``, the input's other columns)."""
     spark = df.sparkSession
     partitions, buckets = int(spark.conf.get("spark.sql.shuffle.partitions")), x.buckets_for(spark)
     docs = with_class(df, id_col, text_col, carry=kept_text).withColumn("given", F.col("doc_id")).withColumn("doc_id", row_key(F.col("given"), F.col("text")))
@@ -371,48 +401,65 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         seen: set[int] = set()
 
         def keys_of(b: pa.RecordBatch):
-            owners, k = b.column("t1").to_pylist(), 0
-            for texts, at, data in _slices(b.column("text")):
+            owners = b.column("t1").to_pylist()
+            now, parts = -1, []
+            for pieces, at, data in _pieces(b.column("text")):
                 _, least, _ = minimisers(data)
                 least = spread(least) & MASK
-                for d in range(len(texts)):
-                    n = len(texts[d]) - WIDTH + 1
-                    if n > 0 and owners[k] not in seen:
+                for d, (k, _, piece) in enumerate(pieces):
+                    if k != now:
+                        if parts:
+                            yield owners[now], np.unique(np.concatenate(parts)), None
+                        now, parts = k, []
+                        if owners[k] in seen:
+                            now = -1
+                            continue
                         if len(seen) >= 1_000_000:
                             seen.clear()
                         seen.add(owners[k])
+                    n = len(piece) - WIDTH + 1
+                    if n > 0:
                         m = least[at[d] : at[d] + n]
-                        yield owners[k], np.unique(m[np.concatenate(([True], m[1:] != m[:-1]))]), None
-                    k += 1
+                        parts.append(np.unique(m[np.concatenate(([True], m[1:] != m[:-1]))]))
+            if parts:
+                yield owners[now], np.unique(np.concatenate(parts)), None
 
         yield from x.packed(batches, keys_of, buckets, within=False)
 
-    facts = docs.select("doc_id", "given", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), *([F.col("text").alias("whole"), "row"] if kept_text else []))
     replies = x.repeated(docs.select("t1", "text").mapInArrow(fingerprints, x.PACKED), partitions, buckets, within=False)
     classes = docs.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"))
-    cand = candidates(docs.drop("row", "given"), replies, classes)
+    cand = candidates(docs.select("doc_id", "text", "t1", "t2"), replies, classes)
     spans = x.by_owner(_sorted_out(_segments(cand, buckets), partitions, buckets), partitions, width=16).withColumnRenamed("owner", "_o").withColumnRenamed("keys", "spans")
+    spans = materialize(spans, "spans")
+    discard(cand)
+    # classes with copies, and classes that lose something
+    verdicts = docs.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).withColumnRenamed("t1", "_c1").withColumnRenamed("t2", "_c2")
+    verdicts = verdicts.join(spans, F.col("_c1") == F.col("_o"), "left").where(F.col("spans").isNotNull() | (F.col("first") < F.col("last"))).drop("_o", "last")
+    # texts travel once more, to meet their spans
+    out = x.zipped(docs).join(verdicts, (F.col("t1") == F.col("_c1")) & (F.col("t2") == F.col("_c2")), "left")
+    nothing = hashlib.sha256(b"").hexdigest()
+    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "row"] if kept_text else [])]
+    fields = [T.StructField(id_col, T.LongType()), *[T.StructField(c, T.LongType()) for c in names[1:4]], T.StructField("kept_sha256", T.StringType())]
+    if kept_text:
+        fields += [T.StructField("kept", T.StringType()), docs.schema["row"]]
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for text, s in zip(x.unzipped(b.column("text")).to_pylist(), b.column("spans").to_pylist(), strict=True):
-                n, runs, kept = cut_out(text, s)
-                out.append((n, runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if kept_text else None))
-            n, runs, sha, kept = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("t1"), b.column("t2"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["_t1", "_t2", "rep", "_n", "_runs", "_sha", "_kept"])
-
-    changed = materialize(cand.join(spans, F.col("t1") == F.col("_o")).select("t1", "t2", "doc_id", "text", "spans").mapInArrow(remove, "_t1 long, _t2 long, rep long, _n long, _runs long, _sha string, _kept string"), "changed")
-    # classes with copies, and classes that lose something
-    verdicts = docs.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).withColumnRenamed("t1", "_c1").withColumnRenamed("t2", "_c2")
-    verdicts = verdicts.join(changed.drop("rep"), (F.col("_c1") == F.col("_t1")) & (F.col("_c2") == F.col("_t2")), "left").where(F.col("_n").isNotNull() | (F.col("first") < F.col("last"))).drop("_t1", "_t2", "last")
-    out = facts.join(verdicts, (F.col("t1") == F.col("_c1")) & (F.col("t2") == F.col("_c2")), "left")
-    copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)) & (F.col("n_bytes") >= WIDTH)
-    zero = F.lit(0).cast("long")
-    cols = [
-        F.col("given").alias(id_col), "n_bytes",
-        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("_n", zero)).alias("n_removed"),
-        F.when(copy, F.lit(1).cast("long")).otherwise(F.coalesce("_runs", zero)).alias("n_spans"),
-        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("_sha", "sha")).alias("kept_sha256"),
-    ]
-    return out.select(*cols, *([F.when(copy, F.lit("")).otherwise(F.coalesce("_kept", "whole")).alias("kept"), "row"] if kept_text else []))
+            facts: list[list] = [[], [], [], [], []]
+            for text, own, first, s in zip(x.unzipped(b.column("text")), b.column("doc_id").to_pylist(), b.column("first").to_pylist(), b.column("spans").to_pylist(), strict=True):
+                text = text.as_py()
+                n = len(text)
+                if first is not None and own > first and n >= WIDTH:
+                    got = (n, n, 1, nothing, "")
+                else:
+                    gone, runs, kept = cut_out(text, s) if s else (0, 0, text)
+                    got = (n, gone, runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if kept_text else None)
+                for c, v in zip(facts, got, strict=True):
+                    c.append(v)
+            cols = [b.column("given"), *[pa.array(c, pa.int64()) for c in facts[:3]], pa.array(facts[3], pa.string())]
+            if kept_text:
+                cols += [pa.array(facts[4], pa.string()), b.column("row")]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    wanted = ["given", "doc_id", "first", "spans", "text", *(["row"] if kept_text else [])]
+    return out.select(*wanted).mapInArrow(remove, T.StructType(fields))

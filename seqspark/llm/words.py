@@ -7,6 +7,7 @@ the word's length.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ _INVERSE = pow(_R, -1, 1 << 64)
 _VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _kept: dict[int, np.ndarray] = {}
 
 
@@ -33,12 +35,12 @@ def _powers(base: int, n: int) -> np.ndarray:
     return powers(base, n)
 
 
-def slices(column: pa.Array, most: int = SLICE) -> Iterator[list[bytes]]:
-    """The texts as UTF-8 (null: empty), about ``most`` bytes at a time."""
+def slices(column: pa.Array) -> Iterator[list[bytes]]:
+    """The texts as UTF-8 (null: empty), about ``SLICE`` bytes at a time."""
     out, total = [], 0
     for t in column.cast(pa.large_binary()).to_pylist():
         t = t or b""
-        if out and total + len(t) + 1 > most:
+        if out and total + len(t) + 1 > SLICE:
             yield out
             out, total = [], 0
         out.append(t)
@@ -70,9 +72,21 @@ def hash_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.
     return h, np.searchsorted(begin, at), begin, end, data
 
 
+def pieces(text: bytes, most: int) -> Iterator[bytes]:
+    """A long text in parts of about ``most`` bytes that end at white space."""
+    at = 0
+    while at < len(text):
+        end = _BLANK.search(text, at + most)
+        yield text[at : end.start() if end else len(text)]
+        at = end.start() if end else len(text)
+
+
 def hashed(column: pa.Array, lower: bool = False) -> Iterator[np.ndarray]:
-    """The word hashes of each text."""
+    """The word hashes of each text; a long text is hashed in pieces, so that memory beyond the text and its hashes stays bounded."""
     for texts in slices(column):
+        if len(texts) == 1 and len(texts[0]) > 2 * SLICE:
+            yield np.concatenate([hash_words([p], lower)[0] for p in pieces(texts[0], SLICE)])
+            continue
         h, first, *_ = hash_words(texts, lower)
         for k in range(len(texts)):
             yield h[first[k] : first[k + 1]]

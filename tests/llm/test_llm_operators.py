@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from seqspark.llm import bpe, packing, suffix_dedup, substring_dedup, token_store
+from seqspark.llm import bpe, packing, suffix_dedup, substring_dedup, token_store, words
 from seqspark.llm.common import shared_dir
 from seqspark.llm.ngram_join import ngram_jaccard_components
 from seqspark.llm.quality_rules import quality_filter, quality_rules
@@ -153,6 +153,51 @@ def test_suffix_order():
         assert [raw[i : i + 50] for i in order.tolist()] == sorted(raw[i : i + 50] for i in starts)
 
 
+def test_cover_ranks_of_long_ties():
+    rng = np.random.default_rng(3)
+    tail = rng.integers(97, 100, size=700).astype(np.uint8)
+    segments = [np.concatenate([tail, rng.integers(97, 99, size=3).astype(np.uint8)]) for _ in range(6)] + [np.full(400, 97, np.uint8)]
+    parts, begins, ends, at = [], [], [], 0
+    for s in segments:
+        room = -(-(len(s) + suffix_dedup.PAD + 16) // 16) * 16
+        parts += [s, np.zeros(room - len(s), np.uint8)]
+        begins.append(at)
+        ends.append(at + len(s))
+        at += room
+    text = np.concatenate([*parts, np.zeros(suffix_dedup.PAD, np.uint8)])
+    raw = text.tobytes()
+    starts = [i for b, e in zip(begins, ends) for i in range(b, e - 49)]
+    order = np.concatenate(list(suffix_dedup.suffix_order(text, np.array(starts), np.array(begins), np.array(ends), block=300)))
+    whole = {i: raw[i:e] for b, e in zip(begins, ends) for i in range(b, e - 49)}
+    assert [whole[i] for i in order.tolist()] == sorted(whole.values())
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcé") for _ in range(rng.randint(1, 9))) for _ in range(n)) for n in (900, 3, 0, 400)] + ["x" * 2000, None]
+    column = pa.array(texts)
+    whole = [h.tolist() for h in words.hashed(column)]
+    keys = {}
+    for pieces, at, data in suffix_dedup._pieces(column):
+        least = suffix_dedup.minimisers(data)[1]
+        for d, (row, _, p) in enumerate(pieces):
+            keys.setdefault(row, set()).update(least[at[d] : at[d] + max(0, len(p) - 49)].tolist())
+    monkeypatch.setattr(words, "SLICE", 300)
+    words._kept.clear()
+    assert [h.tolist() for h in words.hashed(column)] == whole
+    cut = {}
+    for pieces, at, data in suffix_dedup._pieces(column):
+        assert len(data) <= 2 * 349 + 1 or len(pieces) > 1
+        least = suffix_dedup.minimisers(data)[1]
+        for d, (row, place, p) in enumerate(pieces):
+            assert (texts[row] or "").encode()[place : place + len(p)] == p
+            cut.setdefault(row, set()).update(least[at[d] : at[d] + max(0, len(p) - 49)].tolist())
+    words._kept.clear()
+    assert cut == keys
+
+
 def _suffix_brute(rows):
     first = {}
     for d, t in rows:
