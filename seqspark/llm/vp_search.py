@@ -16,8 +16,8 @@ vectors, summed in order of the components, ties by the smaller id. Of a shard
 every row stays a candidate that rounding may put among the k best; equal
 vectors are one class there, which stands for its smallest ids.
 
-Scale. Vectors are dealt to shards by a hash of their id, a bounded number to each; each tree is built once for each shard and
-group of query blocks and searched with the blocks of queries (a stated query set against all rows).
+Scale. Vectors are dealt to shards by a hash of their id, a bounded number to each, and shuffle once; a shard's tree is built
+once, and the blocks of queries (a stated query set against all rows) stream through it.
 A shard's answer is k rows for each query, merged on the map side before the
 final top k. Nothing is collected or broadcast.
 
@@ -223,27 +223,31 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, relax: float = 1.0, id_
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in data], pa.binary())], names=["id", "x"])
 
     packed = materialize(rows.where(F.size("v") == size).mapInArrow(pack, "id long, x binary"), "vectors")
-    # each (shard, block) pair meets in one task: every vector goes to its shard's blocks, every query to all shards
-    data = packed.withColumn("shard", hashed(shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asked", F.lit(False))
-    asks = packed.where(F.pmod("id", F.lit(every)) == 0).withColumn("block", hashed(blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("asked", F.lit(True))
-    met = data.select("shard", "block", "asked", "id", "x").union(asks.select("shard", "block", "asked", "id", "x"))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
-
-        def solve() -> pa.RecordBatch:
-            asked, ids, x = (np.concatenate([p[j] for p in parts]) for j in range(3))
-            q_ids, q, ids, x = ids[asked], x[asked], ids[~asked], x[~asked]
-            first, begin, ids = classes(x, ids, k)
-            x = x[first]
-            extra = np.sqrt(np.maximum(largest - (x * x).sum(axis=1), 0.0))
-            tree = Tree(np.concatenate([x, extra[:, None]], axis=1))
+    # every vector goes to its shard, once and ahead of the queries; every query goes to all shards, in blocks
+    data = packed.withColumn("shard", hashed(shards)).withColumn("block", F.lit(-1))
+    asks = packed.where(F.pmod("id", F.lit(every)) == 0).withColumn("block", hashed(blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    met = data.select("shard", "block", "id", "x").union(asks.select("shard", "block", "id", "x"))
+
+    class Shard:
+        """The tree over one shard's classes of equal vectors; built once, asked with one block of queries after another."""
+
+        def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+            ids, x = (np.concatenate([p[j] for p in parts]) for j in range(2)) if parts else (np.empty(0, np.int64), np.empty((0, size)))
+            first, self.begin, self.ids = classes(x, ids, k)
+            self.x = x[first]
+            extra = np.sqrt(np.maximum(largest - (self.x * self.x).sum(axis=1), 0.0))
+            self.tree = Tree(np.concatenate([self.x, extra[:, None]], axis=1))
             # a query skips the classes that hold no id but its own
-            least, most = np.minimum.reduceat(ids, begin[:-1]) if len(x) else ids, np.maximum.reduceat(ids, begin[:-1]) if len(x) else ids
+            least, most = (f.reduceat(self.ids, self.begin[:-1]) if len(first) else self.ids for f in (np.minimum, np.maximum))
             only = np.flatnonzero(least == most)
-            by = only[np.argsort(least[only], kind="stable")]
-            lo, hi = np.searchsorted(least[by], q_ids, "left"), np.searchsorted(least[by], q_ids, "right")
-            own = [by[a:b] for a, b in zip(lo, hi, strict=True)]
+            self.only = only[np.argsort(least[only], kind="stable")]
+            self.only_id = least[self.only]
+
+        def solve(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            q_ids, q = (np.concatenate([p[j] for p in parts]) for j in range(2))
+            x, begin, ids = self.x, self.begin, self.ids
+            lo, hi = np.searchsorted(self.only_id, q_ids, "left"), np.searchsorted(self.only_id, q_ids, "right")
+            own = [self.only[a:b] for a, b in zip(lo, hi, strict=True)]
 
             def ranked(at: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, ...]:
                 """Of pairs of a query and a class: query, id, score and pair of the k best rows, by exact score, then id."""
@@ -259,27 +263,36 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, relax: float = 1.0, id_
                 keep = np.arange(len(a)) - np.searchsorted(a, a) < k
                 return a[keep], hit[keep], score[pair[keep]], pair[keep]
 
-            at, hit, score, _ = ranked(*tree.search(np.concatenate([q, np.zeros((len(q), 1))], axis=1), own, k, relax, lambda at, cls: np.unique(ranked(at, cls)[3])))
+            at, hit, score, _ = ranked(*self.tree.search(np.concatenate([q, np.zeros((len(q), 1))], axis=1), own, k, relax, lambda at, cls: np.unique(ranked(at, cls)[3])))
             return pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(hit), pa.array(score)], names=["query_id", "vec_id", "score"])
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tree, parts = None, None, []
         for b in batches:
             key = np.stack([b.column("shard").to_numpy(zero_copy_only=False), b.column("block").to_numpy(zero_copy_only=False)], axis=1)
             if len(key) == 0:
                 continue
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            asked, ids = b.column("asked").to_numpy(zero_copy_only=False).astype(bool), b.column("id").to_numpy(zero_copy_only=False)
+            ids = b.column("id").to_numpy(zero_copy_only=False)
             x = _matrix(b.column("x")).reshape(len(ids), size)
             for s in np.split(np.arange(len(ids)), cuts):
                 k_ = tuple(key[s[0]].tolist())
                 if k_ != now:
-                    if parts:
-                        yield solve()
+                    if now is not None:
+                        if now[1] >= 0:
+                            yield tree.solve(parts)
+                        if k_[0] != now[0]:
+                            tree = None
+                        if k_[1] >= 0 and tree is None:  # the shard's rows, which come first, are all here
+                            tree = Shard(parts if now[0] == k_[0] else [])
+                    elif k_[1] >= 0:
+                        tree = Shard([])
                     now, parts = k_, []
-                parts.append((asked[s], ids[s], x[s]))
-        if parts:
-            yield solve()
+                parts.append((ids[s], x[s]))
+        if now is not None and now[1] >= 0:
+            yield tree.solve(parts)
 
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = met.repartition(min(n, shards * blocks), "shard", "block").sortWithinPartitions("shard", "block").mapInArrow(search, "query_id long, vec_id long, score double")
+    found = met.repartition(min(n, shards), "shard").sortWithinPartitions("shard", "block").mapInArrow(search, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
