@@ -4,13 +4,14 @@ Method. Sources in code-point order (null last) weigh 5, 2, 1, repeating, and
 share the words of all documents; a target stops at ``cap`` times its source's
 words and the excess is shared again by weight until none is above. Every
 document of a source then expects ``target / source words`` copies. Within a
-source the expected copies are summed up in a shuffled order (by a hash of the id), one offset
-drawn from the seed and the source is added (of ``DRAWS`` such offsets the one
-whose words come nearest to the target), and a document is taken once for
-each integer that its share of the sum crosses.
+source the expected copies are summed up in the order of the sizes (of equal
+ones by a hash of the id), one random offset, drawn from the seed and the source, is added, and a
+document is taken once for each integer that its share of the sum crosses. As
+sums of copies never stray by one from what is expected, and sizes rise along
+the order, a source's words stray from its target by less than its largest document.
 
 Scale. Words are counted in the scan. The running sum is two passes over
-ranges of (source, hash, id), so a source with a third of all documents is
+ranges of (source, size, hash, id), so a source with a third of all documents is
 spread over many tasks. The table of sources stays distributed; only sums over
 it reach the driver, once for each round of sharing.
 
@@ -27,8 +28,6 @@ from pyspark.sql import functions as F
 from seqspark.llm.common import materialize, running_total
 
 WEIGHTS = (5, 2, 1)
-#: Random offsets drawn for each source.
-DRAWS = 64
 
 
 def shared_targets(sources: DataFrame, cap: float) -> DataFrame:
@@ -54,7 +53,7 @@ def _mixed(df: DataFrame, id_col: str, text_col: str, source_col: str, weights:
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("turn"), F.xxhash64(text).alias("tie"),
         F.lit(1).cast("long").alias("one"), *([F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if carry else []),
     )
-    ordered = running_total(rows, ["turn", "doc_id", "tie"], "one", "before", by="source")
+    ordered = running_total(rows, ["size", "turn", "doc_id", "tie"], "one", "before", by="source")
     ordered = materialize(ordered, "mixed")
     sources = ordered.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("no_name", F.col("source").isNull()).withColumn("one", F.lit(1).cast("long"))
     ranked = running_total(sources, ["no_name", "source"], "one", "rank")
@@ -64,17 +63,9 @@ def _mixed(df: DataFrame, id_col: str, text_col: str, source_col: str, weights:
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     out = out.withColumn("rate", rate)
 
-    def copies(offset):
-        crossed = F.floor((F.col("before") + 1) * F.col("rate") + offset) - F.floor(F.col("before") * F.col("rate") + offset)
-        return F.least(crossed, F.lit(cap)).cast("int")
-
-    drawn = [F.pmod(F.xxhash64(F.lit(seed + k), F.col("source")), F.lit(1 << 52)) / float(1 << 52) for k in range(DRAWS)]
-    # of some random offsets each source keeps the one that comes nearest to its target
-    sums = out.groupBy("source", "target").agg(*[F.sum(copies(u) * F.col("size")).alias(f"s{k}") for k, u in enumerate(drawn)])
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"s{k}") - F.col("target")), F.lit(k), u.alias("offset")) for k, u in enumerate(drawn)]))
-    offsets = materialize(sums.select(F.col("source").alias("_source"), best["offset"].alias("offset")), "offsets")
-    out = out.join(offsets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    return out.withColumn("copies", copies(F.col("offset")))
+    offset = F.pmod(F.xxhash64(F.lit(seed), F.col("source")), F.lit(1 << 52)) / float(1 << 52)
+    crossed = F.floor((F.col("before") + 1) * F.col("rate") + offset) - F.floor(F.col("before") * F.col("rate") + offset)
+    return out.withColumn("copies", F.least(crossed, F.lit(cap)).cast("int"))
 
 
 def mix_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = 3, seed: int = 7) -> DataFrame:

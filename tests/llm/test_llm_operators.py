@@ -348,6 +348,8 @@ def test_source_mix(docs, rows, empty):
         assert r.taken <= 3 * r["size"]
         taken[s] += r.taken
     assert all(abs(taken[s] - (3 * totals[s] if s in capped else level * weight[s])) <= 160 for s in order)
+    largest = {s: max(len(_words(t)) for d, t in rows if name(d) == s) for s in order}
+    assert all(abs(taken[s] - (3 * totals[s] if s in capped else level * weight[s])) <= largest[s] for s in order)
     assert sorted(tuple(r) for r in mix_counts(docs).collect()) == sorted(tuple(r) for r in got)
     mixed = mix_documents(docs)
     assert mixed.columns == docs.columns and sum(len(_words(r.text)) for r in mixed.collect()) == sum(taken.values())
