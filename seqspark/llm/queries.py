@@ -80,7 +80,7 @@ nl AS (
   SELECT rid, source, list_transform(ls, lambda x: translate(regexp_replace(regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ns
   FROM w WHERE len(ls) > 0),
-held AS (SELECT DISTINCT coalesce('=' || source, '') AS host, list_min(ns) AS doc, unnest(ns) AS line FROM nl),
+held AS (SELECT DISTINCT coalesce('=' || source, '') AS host, md5(array_to_string(ns, chr(10))) AS doc, unnest(ns) AS line FROM nl),
 hosts AS (SELECT host, count(DISTINCT doc) AS docs FROM held GROUP BY host),
 bad AS (SELECT host, line FROM held JOIN hosts USING (host) GROUP BY host, line, docs HAVING count(*) > 20 AND count(*) > 0.1 * docs),
 lost AS (
