@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import materialize
+from seqspark.llm.common import discard, materialize
 
 #: Far beyond the logarithm squared of any node count.
 MOST_ROUNDS = 60
@@ -21,7 +21,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
     edges = materialize(edges, "links")
     seen = None
-    for _ in range(MOST_ROUNDS):
+    for rounds in range(MOST_ROUNDS + 1):
+        if rounds == MOST_ROUNDS:
+            raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
         if state == seen or state[0] == 0:
             break
@@ -31,6 +33,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
         small = large.join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = materialize(small.union(least.select("k", "m")).distinct(), "links")
+        last, edges = edges, materialize(small.union(least.select("k", "m")).distinct(), "links")
+        discard(last)
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(edges.select("b", "b").distinct())

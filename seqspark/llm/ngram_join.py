@@ -41,12 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import materialize, mix64, row_key
+from seqspark.llm.common import discard, materialize, mix64, row_key
 from seqspark.llm.graph import components
 from seqspark.llm.words import hashed
 
 SKETCH_BITS, BLOCK_BITS = 21, 16
-GROUP_SHINGLES = 1 << 21
+#: Tokens that one task compares at once; a larger group is dealt into blocks.
+GROUP_SHINGLES = 1 << 16
 #: Prefix tokens that a map task combines at a time.
 COMBINED = 1 << 20
 #: Longer lists of sets with a common token are joined unseen; shorter ones are pruned first.
@@ -372,6 +373,7 @@ def keyed_components(df: DataFrame, size: int, num: int, den: int, id_col: str =
     near = _pruned(lists, survey.where("block is null"), num, den, partitions)
     stars = shared.where(long_ & (F.col("s1") != F.col("other"))).select("s1", "other")
     groups = components(rows.where("token is null").select("s1", "other").union(stars).union(near), "s1", "other")
+    discard(rows, shared)
 
     # a class of equal sets stands by its smallest id
     classes = materialize(sets.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
@@ -385,8 +387,7 @@ def keyed_components(df: DataFrame, size: int, num: int, den: int, id_col: str =
 
     # each group at once, or in blocks that all hold the pivot
     own = F.when(F.col("doc_id") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int")))
-    first = held.withColumn("block", F.explode(own)).withColumn("label", F.lit(None).cast("long"))
-    first = first.withColumn("label", F.col("doc_id"))
+    first = held.withColumn("block", F.explode(own)).withColumn("label", F.col("doc_id"))
     links = materialize(_grouped_links(first, ["grp", "block"], size, num, den, partitions), "first")
     large = held.where("blocks > 1")
     roots = components(links.where("doc_id <> root"), "doc_id", "root")
@@ -407,6 +408,7 @@ def keyed_components(df: DataFrame, size: int, num: int, den: int, id_col: str =
         links = links.union(materialize(more, "second"))
         roots = components(links.where("doc_id <> root"), "doc_id", "root")
 
+    discard(held)
     classes = classes.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), F.coalesce("root", "rep").alias("component_id"))
     out = sets.join(classes, (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("n") > 0), "left")
     out = out.select(F.col("doc_id").alias("key"), "no_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("root"))

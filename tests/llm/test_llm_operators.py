@@ -440,3 +440,84 @@ def test_pipeline(spark, tmp_path):
     assert all(after[k] == clean[k] for k in range(20)) and passage in after[22] and passage not in after[23]
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} <= set(after) and packed
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    passage, share = text(70), "  Share this\tPage "
+    bodies = [text(rng.randint(60, 200)) for _ in range(70)]
+    bodies += [bodies[4], bodies[5] + " tail", bodies[6].replace(" ", "\n", 3), passage + " " + text(80), text(70) + " " + passage, "few words", None, "", "so it goes " * 80]
+    long_ = " ".join(share.split()) + " " + text(60)
+    docs = [(k, None if t is None else t + "\n" + (share if k % 3 else long_), "src0" if k % 3 else None) for k, t in enumerate(bodies)]
+    docs.append((4, docs[4][1], docs[4][2]))  # a repeated row
+    full = [(d, t, "en", s, 0, "x") for d, t, s in docs]
+    spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, _stays string").write.parquet(str(tmp_path / "documents.parquet"))
+    df, names = spark.read.parquet(str(tmp_path / "documents.parquet")), ["doc_id", "lang", "n_chars", "source", "text", "_stays"]
+
+    # quality: boilerplate lines go, as do documents that fail or are depleted
+    normal = lambda x: " ".join(_words(x)).lower()
+    held, per = defaultdict(set), defaultdict(set)
+    for d, t, s in docs:
+        lines = [normal(x) for x in (t or "").split("\n") if _words(x)]
+        if lines:
+            per[s].add(tuple(lines))
+        for x in lines:
+            held[s, x].add(tuple(lines))
+    bad = {k for k, v in held.items() if len(v) > 20 and len(v) > 0.1 * len(per[k[0]])}
+    assert bad
+    good = []
+    for d, t, s in docs:
+        w = _words(t or "")
+        grams = Counter(zip(w, w[1:], w[2:]))
+        twice = {i + j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in range(3)}
+        lost = sum(len(_words(x)) for x in (t or "").split("\n") if _words(x) and (s, normal(x)) in bad)
+        if len(w) >= 50 and 100 * len(twice) <= 50 * len(w) and lost <= 0.5 * len(w):
+            good.append((d, "\n".join(x for x in t.split("\n") if not (_words(x) and (s, normal(x)) in bad)), s))
+    df = corpus_pipeline.quality(spark, df, str(tmp_path))
+    assert set(df.columns) == set(names)
+    assert sorted((r.doc_id, r.text) for r in df.collect()) == sorted((d, t) for d, t, _ in good)
+
+    # one of each component of near duplicates
+    least = {d for d, _, root in _components([(d, t) for d, t, _ in good], 5, 4, 5) if d == root}
+    good = sorted({(d, t, s) for d, t, s in good if d in least}, key=lambda r: r[0])
+    df = corpus_pipeline.near_duplicates(spark, df, str(tmp_path))
+    assert sorted((r.doc_id, r.text) for r in df.collect()) == [(d, t) for d, t, _ in good]
+
+    # repeated strings
+    first = {}
+    for d, t, _ in good:
+        for i in range(len(t) - 49):
+            first.setdefault(t[i : i + 50], d)
+    left = []
+    for d, t, s in good:
+        gone = {i + j for i in range(len(t) - 49) if first[t[i : i + 50]] < d for j in range(50)}
+        left.append((d, "".join(x for i, x in enumerate(t) if i not in gone), s))
+    df = corpus_pipeline.repeated_strings(spark, df, str(tmp_path))
+    assert sorted((r.doc_id, r.text) for r in df.collect()) == [(d, t) for d, t, _ in left] and left != good
+
+    # the mix takes whole documents, about as often as their source's rate
+    size = Counter()
+    for d, t, s in left:
+        size[s] += len(_words(t))
+    df = corpus_pipeline.mixing(spark, df, str(tmp_path))
+    mixed = Counter((r.doc_id, r.text) for r in df.collect())
+    assert set(mixed) <= {(d, t) for d, t, _ in left}
+    weight = {"src0": 5, None: 2}
+    total = sum(size.values())
+    want = {s: min(3 * size[s], weight[s] / 7 * total) for s in size}
+    for d, t, s in left:
+        assert abs(mixed[d, t] - want[s] / size[s]) < 1
+
+    # pieces of the mix, each packed once
+    ids = bpe.Bpe(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = Counter()
+    for (d, t), n in mixed.items():
+        b = ids.by_library(t) + b"\1\0\0\0"
+        for k in range(0, len(b), 4 * 4096):
+            pieces[d, k // (4 * 4096), len(b[k : k + 4 * 4096]) // 4, zlib.crc32(b[k : k + 4 * 4096])] += n
+    ran = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in ran) == pieces
