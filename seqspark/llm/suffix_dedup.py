@@ -16,9 +16,9 @@ whose minimiser no other document has cannot repeat; a key exchange
 is sorted at all.
 
 Copies of a text form a class; its smallest document stands for it, the others
-lose everything. Equal segments are combined on the map side: all but the
-smallest document's are settled there and not sent. So a passage of a third of all
-documents arrives once for each buffer, and no pairs are formed.
+lose everything. Equal segments are combined on the map side, and again before
+a bucket is sorted: all but the smallest document's are settled there. So a passage of a third of all
+documents arrives once for each buffer, is sorted once, and no pairs are formed.
 
 A text travels twice: to its shared minimisers, and to the spans that it loses;
 what a step no longer needs is deleted.
@@ -32,7 +32,6 @@ are taken whole, as UTF-8 bytes; a cut may fall inside a character
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -56,7 +55,7 @@ PAD = 32
 #: Suffixes sorted at a time.
 BLOCK = 1 << 21
 #: Bytes of segments that a map task combines at a time.
-HELD = 1 << 22
+HELD = 1 << 24
 #: Exchanged minimisers keep 48 bits: a filter, not a verdict.
 MASK = np.uint64(0xFFFFFFFFFFFF0000)
 
@@ -95,21 +94,28 @@ def cover_ranks(words: np.ndarray, size: int, ends: np.ndarray, begins: np.ndarr
     are doubled in length until no two are equal, or the longest segment is
     spanned (what is still equal then are equal segments).
     """
-    lo, hi = begins // PERIOD, (ends + PERIOD) // PERIOD + 1
-    count = hi - lo
-    row = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    at = (np.unique(row)[:, None] * PERIOD + np.array(COVER)[None, :]).ravel()
-    at = at[at < len(words) - 8]
+    at = _cover_positions(begins, ends + PERIOD)
     longest = int((ends - begins).max()) if len(ends) else 0
     rank = np.zeros(size + 2 * max(longest, 64), np.uint64)
     rank[at] = paired(dense(words[at]), dense(words[at + 8]))
     span = PERIOD
-    while span < longest and int(rank[at].max()) < len(at):
-        rank[at] = paired(rank[at], rank[at + span])  # of twice the length: at + span is in the cover too
+    asked = _cover_positions(begins, ends - WIDTH + PERIOD)  # where a shift below the period can take a suffix
+    while span < longest and len(at) and int(rank[at].max()) < len(at):
+        # of twice the length: at + span is in the cover too; the last doubling is for what is asked only
+        at = at if 2 * span < longest else asked
+        rank[at] = paired(rank[at], rank[at + span])
         span *= 2
     return rank
 
 
+def _cover_positions(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The positions of the cover in ``begins`` .. ``ends``, rounded to whole periods."""
+    lo, hi = begins // PERIOD, ends // PERIOD + 1
+    count = hi - lo
+    row = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    return (np.unique(row)[:, None] * PERIOD + np.array(COVER)[None, :]).ravel()
+
+
 def suffix_order(text: np.ndarray, starts: np.ndarray, begins: np.ndarray, ends: np.ndarray, block: int = BLOCK) -> Iterator[np.ndarray]:
     """``starts`` in the order of the suffixes there (to at least ``WIDTH`` bytes), one bucket after another.
 
@@ -139,31 +145,32 @@ def suffix_order(text: np.ndarray, starts: np.ndarray, begins: np.ndarray, ends:
         new[1:] = prefix[1:] != prefix[:-1]
         heads = np.flatnonzero(new)
         residue = at % PERIOD
-        mixed = np.minimum.reduceat(residue, heads) != np.maximum.reduceat(residue, heads)
-        ends = np.append(heads[1:], len(at))
-        for lo, hi in zip(heads[mixed].tolist(), ends[mixed].tolist(), strict=True):
-            at[lo:hi] = _resolved(at[lo:hi], rank)
+        mixed = (np.minimum.reduceat(residue, heads) != np.maximum.reduceat(residue, heads))[np.cumsum(new) - 1]
+        at[mixed] = _merged(at[mixed], np.cumsum(new)[mixed], rank)
         yield at
 
 
-def _resolved(tied: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Suffixes that agree in their first 16 bytes, in order: each residue is in order already and is one sorted list to merge."""
+def _merged(tied: np.ndarray, group: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Suffixes in groups that agree in their first 16 bytes, each group in order.
 
-    def less(i: int, j: int) -> int:
-        d = int(_SHIFT[i % PERIOD, j % PERIOD])
-        return int(rank[i + d]) - int(rank[j + d])
-
-    # one of each run of equal (residue, rank) is compared, the others follow it
-    r = tied % PERIOD
-    own = rank[tied + _SHIFT[r, r]]
-    by = np.lexsort((own, r))
-    tied, r, own = tied[by], r[by], own[by]
-    new = np.ones(len(tied), bool)
-    new[1:] = (r[1:] != r[:-1]) | (own[1:] != own[:-1])
-    heads = np.flatnonzero(new)
-    spans = np.split(tied, heads[1:])
-    order = sorted(range(len(spans)), key=functools.cmp_to_key(lambda a, b: less(int(spans[a][0]), int(spans[b][0]))))
-    return np.concatenate([spans[k] for k in order])
+    The suffixes of one residue are in order already. A suffix's place is the number
+    of suffixes before it, counted in each residue's list by the ranks at
+    the shift that takes both residues into the cover.
+    """
+    group = group.astype(np.uint64) << np.uint64(32)
+    residue = tied % PERIOD
+    by = [np.flatnonzero(residue == r) for r in range(PERIOD)]
+    place = np.zeros(len(tied), np.int64)
+    for r in range(PERIOD):
+        if len(by[r]) == 0:
+            continue
+        place[by[r]] += np.arange(len(by[r]))
+        for s in range(PERIOD):
+            if s != r and len(by[s]):
+                d = int(_SHIFT[r, s])
+                mine, other = group[by[r]] | rank[tied[by[r]] + d], group[by[s]] | rank[tied[by[s]] + d]
+                place[by[r]] += np.searchsorted(other, mine, "left" if s > r else "right")
+    return tied[np.lexsort((place, group))]
 
 
 def repeated_groups(text: np.ndarray, order: np.ndarray, words: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -232,6 +239,18 @@ def _windows(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.stack([first, last], axis=1).astype("<i8")).view("V16").ravel()
 
 
+def later_copies(doc: np.ndarray, size: np.ndarray, turn: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segments that equal one of a smaller document, and the other segments; ``data`` holds their bytes one after another."""
+    begin = np.cumsum(size) - size
+    place = np.arange(len(data)) - np.repeat(begin, size)
+    ident = mix64(np.add.reduceat(w._VALUE[data] * w._powers(w._R, int(size.max()))[place], begin))
+    by = np.lexsort((doc, turn, size, ident))
+    new = np.ones(len(by), bool)
+    new[1:] = (ident[by][1:] != ident[by][:-1]) | (size[by][1:] != size[by][:-1]) | (turn[by][1:] != turn[by][:-1])
+    first = doc[by][np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+    return by[doc[by] > first], np.sort(by[doc[by] == first])
+
+
 def _segments(cand: DataFrame, buckets: int) -> DataFrame:
     """Packed segments by bucket, and spans that a task settles itself."""
     shift = np.uint64(64 - (buckets.bit_length() - 1))
@@ -286,24 +305,20 @@ def _segments(cand: DataFrame, buckets: int) -> DataFrame:
                     if k != mine:
                         mine, live_keys = k, x.key_set(keys[k])
                     m = least[at[d] : at[d] + n]
-                    live = np.isin(spread(m) & MASK, live_keys)
                     edge = np.ones(n + 1, bool)
-                    edge[1:n] = (m[1:] != m[:-1]) | (live[1:] != live[:-1])
+                    edge[1:n] = m[1:] != m[:-1]
                     cut = np.flatnonzero(edge)
-                    first, last = cut[:-1], cut[1:] - 1
-                    use = live[first]
-                    first, last = first[use], last[use]
+                    key = spread(m[cut[:-1]])
+                    use = np.isin(key & MASK, live_keys)
+                    first, last, key = cut[:-1][use], cut[1:][use] - 1, key[use]
                     if len(first) == 0:
                         continue
-                    value, size = m[first], last - first + WIDTH
-                    place = np.full(len(first), -1)
-                    for off in range(WIDTH - GRAM + 1):
-                        hit = (place < 0) & (h[at[d] + last + off] == value)
-                        place[hit] = last[hit] + off
+                    size = last - first + WIDTH
+                    place = last + h[(at[d] + last)[:, None] + np.arange(WIDTH - GRAM + 1)].argmin(axis=1)
                     lo, hi = at[d] + first, at[d] + last + WIDTH
                     ident = mix64((sums[hi] - sums[lo]) * inverse[lo])
                     take = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                    held.append((np.int64(docs[k]), np.int64(owners[k]), first.astype(np.int64) + place_in_text, size.astype(np.int64), ((place - first) % PERIOD).astype(np.uint8), spread(value), ident, np.frombuffer(data, np.uint8)[take].tobytes()))
+                    held.append((np.int64(docs[k]), np.int64(owners[k]), first.astype(np.int64) + place_in_text, size.astype(np.int64), ((place - first) % PERIOD).astype(np.uint8), key, ident, np.frombuffer(data, np.uint8)[take].tobytes()))
                     total += int(size.sum())
                     if total > HELD:
                         total = 0
@@ -323,6 +338,11 @@ def _sorted_out(rows: DataFrame, partitions: int, buckets: int) -> DataFrame:
             doc, owner, start, size = (np.concatenate([x.unplanes(p[k], "<i8") for p in parts]) for k in range(4))
             turn = np.frombuffer(b"".join(p[4] for p in parts), np.uint8).astype(np.int64)
             data = np.frombuffer(b"".join(p[5] for p in parts), np.uint8)
+            later, stay = later_copies(doc, size, turn, data)
+            yield from out_.add(owner[later], _windows(start[later], start[later] + size[later] - WIDTH))
+            source = np.cumsum(size) - size
+            data = data[np.repeat(source[stay] - (np.cumsum(size[stay]) - size[stay]), size[stay]) + np.arange(int(size[stay].sum()))]
+            doc, owner, start, size, turn = (v[stay] for v in (doc, owner, start, size, turn))
             # each segment's minimiser comes to a multiple of the period, so equal strings have equal residues
             room = -(-(size + PAD + PERIOD) // PERIOD) * PERIOD
             base = np.cumsum(room) - room + (-turn) % PERIOD
@@ -405,11 +425,10 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             now, parts = -1, []
             for pieces, at, data in _pieces(b.column("text")):
                 _, least, _ = minimisers(data)
-                least = spread(least) & MASK
                 for d, (k, _, piece) in enumerate(pieces):
                     if k != now:
                         if parts:
-                            yield owners[now], np.unique(np.concatenate(parts)), None
+                            yield owners[now], np.unique(spread(np.concatenate(parts)) & MASK), None
                         now, parts = k, []
                         if owners[k] in seen:
                             now = -1
@@ -420,9 +439,9 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     n = len(piece) - WIDTH + 1
                     if n > 0:
                         m = least[at[d] : at[d] + n]
-                        parts.append(np.unique(m[np.concatenate(([True], m[1:] != m[:-1]))]))
+                        parts.append(m[np.concatenate(([True], m[1:] != m[:-1]))])
             if parts:
-                yield owners[now], np.unique(np.concatenate(parts)), None
+                yield owners[now], np.unique(spread(np.concatenate(parts)) & MASK), None
 
         yield from x.packed(batches, keys_of, buckets, within=False)
 
