@@ -9,9 +9,11 @@ Conventions that hold for all of them:
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +64,27 @@ def discard(*written: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
+def free_memory() -> None:
+    """Gives memory that is no longer used back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for a task that frees its memory at its end: Python workers live on beside the tasks of later stages."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            free_memory()
+
+    return go
+
+
 def row_key(id_: Column, text: Column) -> Column:
     """The id; of a row without one a hash of its text, from 2**62 up, so after usual ids. Equal texts without an id share it."""
     return F.coalesce(id_.cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.lit("no id"), F.coalesce(text, F.lit(""))), 2))

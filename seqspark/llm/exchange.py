@@ -19,7 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-BUFFER = 1 << 20
+from seqspark.llm.common import released
+
+BUFFER = 1 << 19
 REPLY = "grp int, owners binary, keys binary, naming boolean"
 _REPLY = ["grp", "owners", "keys", "naming"]
 
@@ -153,7 +155,7 @@ def repeated(rows: DataFrame, partitions: int, buckets: int, within: bool = True
         yield from out.flush()
 
     # what the map side has settled passes through, so that the rows are made once
-    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, REPLY)
+    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(released(run), REPLY)
 
 
 def by_owner(rows: DataFrame, partitions: int, width: int = 8) -> DataFrame:
@@ -185,7 +187,7 @@ def by_owner(rows: DataFrame, partitions: int, width: int = 8) -> DataFrame:
                 (names if naming else parts).append((owners, values))
         yield from solve()
 
-    return rows.repartition(partitions, "grp").sortWithinPartitions("grp").mapInArrow(run, "owner long, keys binary")
+    return rows.repartition(partitions, "grp").sortWithinPartitions("grp").mapInArrow(released(run), "owner long, keys binary")
 
 
 def reply_batch(owners: np.ndarray, values: np.ndarray, groups: int, naming: bool = False) -> pa.RecordBatch:
@@ -207,7 +209,7 @@ def zipped(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([z if k == at else c for k, c in enumerate(b.columns)], names=docs_names)
 
     docs_names = docs.columns
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def unzipped(column: pa.Array) -> pa.Array:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import discard, materialize, mix64, row_key
+from seqspark.llm.common import discard, materialize, mix64, released, row_key
 from seqspark.llm.graph import components
 from seqspark.llm.words import hashed
 
@@ -49,7 +49,7 @@ SKETCH_BITS, BLOCK_BITS = 21, 16
 #: Tokens that one task compares at once; a larger group is dealt into blocks.
 GROUP_SHINGLES = 1 << 16
 #: Prefix tokens that a map task combines at a time.
-COMBINED = 1 << 20
+COMBINED = 1 << 19
 #: Longer lists of sets with a common token are joined unseen; shorter ones are pruned first.
 LISTED = 64
 #: DivideSkip's weight of a merge step against a probe.
@@ -206,7 +206,7 @@ def _survey(df: DataFrame, size: int) -> DataFrame:
         none = pa.nulls(len(k), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(k), pa.binary()), pa.array(k, pa.int32()), pa.array(packed, pa.binary()), pa.nulls(len(k), pa.bool_())], names=["doc_id", "n", "s1", "s2", "hist", "block", "counts", "no_id"])
 
-    return df.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, hist binary, block int, counts binary, no_id boolean")
+    return df.mapInArrow(released(run), "doc_id long, n long, s1 long, s2 long, hist binary, block int, counts binary, no_id boolean")
 
 
 def _levels(survey: DataFrame) -> np.ndarray:
@@ -276,7 +276,7 @@ def _prefixes(df: DataFrame, size: int, num: int, den: int, levels) -> DataFrame
                     yield from combined()
         yield from combined()
 
-    return df.mapInArrow(run, "token long, s1 long, other long, hot boolean")
+    return df.mapInArrow(released(run), "token long, s1 long, other long, hot boolean")
 
 
 def _pruned(lists: DataFrame, sets: DataFrame, num: int, den: int, partitions: int) -> DataFrame:
@@ -318,7 +318,7 @@ def _pruned(lists: DataFrame, sets: DataFrame, num: int, den: int, partitions: i
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["s1", "other"])
 
     rows = members.join(facts, F.col("m") == F.col("s1")).select("id", "m", "n", "hist")
-    return rows.repartition(partitions, "id").sortWithinPartitions("id").mapInArrow(run, "s1 long, other long")
+    return rows.repartition(partitions, "id").sortWithinPartitions("id").mapInArrow(released(run), "s1 long, other long")
 
 
 def _grouped_links(members: DataFrame, keys: list[str], size: int, num: int, den: int, partitions: int) -> DataFrame:
@@ -345,7 +345,7 @@ def _grouped_links(members: DataFrame, keys: list[str], size: int, num: int, den
             yield linked()
 
     members = members.select(*keys, "doc_id", "label", "text")
-    return members.repartition(partitions, *keys).sortWithinPartitions(*keys).mapInArrow(run, "doc_id long, root long")
+    return members.repartition(partitions, *keys).sortWithinPartitions(*keys).mapInArrow(released(run), "doc_id long, root long")
 
 
 def ngram_jaccard_components(df: DataFrame, size: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", group_shingles: int = GROUP_SHINGLES) -> DataFrame:

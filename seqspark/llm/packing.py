@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.llm.bpe import load
-from seqspark.llm.common import materialize, running_total
+from seqspark.llm.common import materialize, released, running_total
 
 #: Fillings kept at a node.
 KEPT = 6
@@ -233,9 +233,10 @@ def pack_documents(df: DataFrame, tokenizer: str, end_id: int, capacity: int = 4
             cols = list(zip(*out, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "one"])
+        load.cache_clear()  # the vocabulary and its tables would stay in the worker
 
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
-    pieces = materialize(source.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, one long"), "pieces")
+    pieces = materialize(source.mapInArrow(released(cut), "doc_id long, piece int, start long, length long, ids_crc32 long, one long"), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():  # at most ``capacity`` rows
         counts[r[0]] = r[1]

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.llm import exchange as x
-from seqspark.llm.common import discard, materialize, mix64, powers
+from seqspark.llm.common import discard, materialize, mix64, powers, released
 from seqspark.llm.words import hashed
 
 #: A difference cover modulo 21 (a perfect difference set).
@@ -142,8 +142,8 @@ def word_window_dedup(df: DataFrame, window: int = 35, id_col: str = "doc_id", t
 
         yield from x.packed(batches, keys_of, buckets, within=True)
 
-    facts = materialize(docs.select("doc_id", "text", "t1", "t2").mapInArrow(measure, "doc_id long, t1 long, t2 long, n_words long, sha string, whole string"), "facts")
-    replies = x.repeated(docs.select("t1", "text").mapInArrow(anchored, x.PACKED), partitions, buckets)
+    facts = materialize(docs.select("doc_id", "text", "t1", "t2").mapInArrow(released(measure), "doc_id long, t1 long, t2 long, n_words long, sha string, whole string"), "facts")
+    replies = x.repeated(docs.select("t1", "text").mapInArrow(released(anchored), x.PACKED), partitions, buckets)
     classes = facts.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     cand = candidates(docs, replies, classes)
 
@@ -158,7 +158,7 @@ def word_window_dedup(df: DataFrame, window: int = 35, id_col: str = "doc_id", t
 
         yield from x.packed(batches, keys_of, buckets, within=True)
 
-    found = x.by_owner(x.repeated(cand.mapInArrow(whole_windows, x.PACKED), partitions, buckets), partitions).withColumnRenamed("owner", "_o").withColumnRenamed("keys", "found")
+    found = x.by_owner(x.repeated(cand.mapInArrow(released(whole_windows), x.PACKED), partitions, buckets), partitions).withColumnRenamed("owner", "_o").withColumnRenamed("keys", "found")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,7 +173,7 @@ def word_window_dedup(df: DataFrame, window: int = 35, id_col: str = "doc_id", t
                 kept_.append(kept.decode() if kept_text else None)
             yield pa.RecordBatch.from_arrays([b.column("t1"), b.column("t2"), pa.array(n, pa.int64()), pa.array(sha), pa.array(kept_, pa.string())], names=["_t1", "_t2", "_n", "_sha", "_kept"])
 
-    changed = cand.join(found, F.col("t1") == F.col("_o")).select("t1", "t2", "text", "found").mapInArrow(remove, "_t1 long, _t2 long, _n long, _sha string, _kept string")
+    changed = cand.join(found, F.col("t1") == F.col("_o")).select("t1", "t2", "text", "found").mapInArrow(released(remove), "_t1 long, _t2 long, _n long, _sha string, _kept string")
     copied = classes.where("copies > 1").select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.lit(True).alias("copied"))
     changed = materialize(changed, "changed")
     discard(cand)

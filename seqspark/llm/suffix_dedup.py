@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 
 from seqspark.llm import exchange as x
 from seqspark.llm import words as w
-from seqspark.llm.common import discard, materialize, mix64, row_key
+from seqspark.llm.common import discard, materialize, mix64, released, row_key
 from seqspark.llm.substring_dedup import candidates, is_cover, with_class
 
 WIDTH, GRAM = 50, 20
@@ -55,7 +55,7 @@ PAD = 32
 #: Suffixes sorted at a time.
 BLOCK = 1 << 21
 #: Bytes of segments that a map task combines at a time.
-HELD = 1 << 24
+HELD = 1 << 23
 #: Exchanged minimisers keep 48 bits: a filter, not a verdict.
 MASK = np.uint64(0xFFFFFFFFFFFF0000)
 
@@ -325,7 +325,7 @@ def _segments(cand: DataFrame, buckets: int) -> DataFrame:
                         yield from flush()
         yield from flush()
 
-    return cand.mapInArrow(run, SEGMENTS)
+    return cand.mapInArrow(released(run), SEGMENTS)
 
 
 def _sorted_out(rows: DataFrame, partitions: int, buckets: int) -> DataFrame:
@@ -385,7 +385,7 @@ def _sorted_out(rows: DataFrame, partitions: int, buckets: int) -> DataFrame:
             yield from solve()
         yield from out_.flush()
 
-    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, x.REPLY)
+    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(released(run), x.REPLY)
 
 
 def cut_out(text: bytes, spans: bytes) -> tuple[int, int, bytes]:
@@ -445,7 +445,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         yield from x.packed(batches, keys_of, buckets, within=False)
 
-    replies = x.repeated(docs.select("t1", "text").mapInArrow(fingerprints, x.PACKED), partitions, buckets, within=False)
+    replies = x.repeated(docs.select("t1", "text").mapInArrow(released(fingerprints), x.PACKED), partitions, buckets, within=False)
     classes = docs.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"))
     cand = candidates(docs.select("doc_id", "text", "t1", "t2"), replies, classes)
     spans = x.by_owner(_sorted_out(_segments(cand, buckets), partitions, buckets), partitions, width=16).withColumnRenamed("owner", "_o").withColumnRenamed("keys", "spans")
@@ -481,4 +481,4 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     wanted = ["given", "doc_id", "first", "spans", "text", *(["row"] if kept_text else [])]
-    return out.select(*wanted).mapInArrow(remove, T.StructType(fields))
+    return out.select(*wanted).mapInArrow(released(remove), T.StructType(fields))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import materialize
+from seqspark.llm.common import materialize, released
 
 #: Vectors in a shard and queries in a block, about; and vectors in a leaf.
 SHARD, BLOCK, LEAF = 1 << 14, 1 << 11, 512
@@ -293,6 +293,6 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, relax: float = 1.0, id_
             yield tree.solve(parts)
 
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = met.repartition(min(n, shards), "shard").sortWithinPartitions("shard", "block").mapInArrow(search, "query_id long, vec_id long, score double")
+    found = met.repartition(min(n, shards), "shard").sortWithinPartitions("shard", "block").mapInArrow(released(search), "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from seqspark.llm.common import mix64, powers
 
 #: Bytes of text taken together; a longer text is taken alone.
-SLICE = 1 << 20
+SLICE = 1 << 19
 _R = 0x9E3779B97F4A7C17  # odd, and one less than it is twice an odd number
 _INVERSE = pow(_R, -1, 1 << 64)
 _VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
