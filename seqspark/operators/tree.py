@@ -20,7 +20,8 @@ def nj_tree(edges: DataFrame, sizes: DataFrame) -> DataFrame:
         n = int(pdf["n"].iloc[0])
         d = np.zeros((n, n), np.float32)
         real = pdf[pdf["i"] >= 0]
-        d[real["i"], real["j"]] = real["d"]
+        place = np.unique(real[["i", "j"]].to_numpy())  # positions may have holes
+        d[np.searchsorted(place, real["i"]), np.searchsorted(place, real["j"])] = real["d"]
         made = neighbour_joining(d + d.T)
         rows = [(k, -1, -1) for k in range(n)] + [(n + k, a, b) for k, (a, b) in enumerate(made)]
         return pd.DataFrame({"msa_id": pdf["msa_id"].iloc[0], "node": [r[0] for r in rows], "left": [r[1] for r in rows], "right": [r[2] for r in rows]})
@@ -30,40 +31,93 @@ def nj_tree(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     return full.groupBy("msa_id").applyInPandas(build, "msa_id long, node int, left int, right int")
 
 
+def _tour(pdf: pd.DataFrame) -> tuple[list[tuple], list]:
+    """(node, left, right, first and end place of its leaves) of each node, children before parents, and the leaves in that order. No recursion: depth has no limit."""
+    kids = {n: (a, b) for n, a, b in zip(pdf["node"].tolist(), pdf["left"].tolist(), pdf["right"].tolist(), strict=True)}
+    below = {c for pair in kids.values() for c in pair}
+    out, leaves, span = [], [], {}
+    stack = [(n, False) for n in sorted(kids, reverse=True) if n not in below]
+    while stack:
+        node, seen = stack.pop()
+        left, right = kids[node]
+        if left < 0:
+            span[node] = len(leaves), len(leaves) + 1
+            leaves.append(node)
+        elif not seen:
+            stack += [(node, True), (right, False), (left, False)]
+            continue
+        else:
+            span[node] = span[left][0], span[right][1]
+        out.append((node, left, right, *span[node]))
+    return out, leaves
+
+
+def _each(tree: DataFrame, build, columns: str) -> DataFrame:
+    """``build`` over the rows of each tree; a tree is one task, as neighbour joining makes it."""
+    return tree.groupBy("msa_id").applyInPandas(build, f"msa_id {tree.schema['msa_id'].dataType.simpleString()}, {columns}")
+
+
 def tree_levels(tree: DataFrame) -> DataFrame:
-    """``msa_id``, ``node``, ``level``: 0 for leaves, else one more than the deeper child. A recursive query, one round for each level."""
-    tree.createOrReplaceTempView("_tree_levels")
-    return tree.sparkSession.sql("""
-        WITH RECURSIVE up(msa_id, node, level) AS (
-          SELECT msa_id, node, 0 FROM _tree_levels WHERE left < 0
-          UNION ALL
-          SELECT t.msa_id, t.node, up.level + 1 FROM up JOIN _tree_levels t ON t.msa_id = up.msa_id AND (t.left = up.node OR t.right = up.node))
-        SELECT msa_id, node, max(level) AS level FROM up GROUP BY msa_id, node
-    """)
-
-
-def leaf_sets(tree: DataFrame, leaves: str = "left < 0") -> DataFrame:
-    """``msa_id``, ``node``, ``leaf``: the leaves below each node."""
-    tree.createOrReplaceTempView("_leaf_sets")
-    return tree.sparkSession.sql(f"""
-        WITH RECURSIVE below(msa_id, node, leaf) AS (
-          SELECT msa_id, node, node FROM _leaf_sets WHERE {leaves}
-          UNION ALL
-          SELECT t.msa_id, t.node, below.leaf FROM below JOIN _leaf_sets t ON t.msa_id = below.msa_id AND (t.left = below.node OR t.right = below.node))
-        SELECT DISTINCT msa_id, node, leaf FROM below
-    """)
+    """``msa_id``, ``node``, ``level``: 0 for leaves, else one more than the deeper child."""
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        level: dict = {}
+        for node, left, right, _, _ in _tour(pdf)[0]:
+            level[node] = 0 if left < 0 else 1 + max(level[left], level[right])
+        return pd.DataFrame({"msa_id": pdf["msa_id"].iloc[0], "node": list(level), "level": list(level.values())})
+
+    return _each(tree, build, f"node {tree.schema['node'].dataType.simpleString()}, level int")
 
 
 def splits(tree: DataFrame) -> DataFrame:
     """``msa_id``, ``split``: the non-trivial bipartitions, each by its smaller side (of equal ones the lesser list), as a sorted array."""
-    sides = leaf_sets(tree).groupBy("msa_id", "node").agg(F.array_sort(F.collect_set("leaf")).alias("side"))
-    everything = tree.where("left < 0").groupBy("msa_id").agg(F.array_sort(F.collect_set("node")).alias("every")).withColumnRenamed("msa_id", "_m")
-    both = sides.join(everything, F.col("msa_id") == F.col("_m")).withColumn("other", F.array_sort(F.array_except("every", "side")))
-    low, high = F.struct(F.size("side"), "side"), F.struct(F.size("other"), "other")
-    least = F.when(low < high, F.col("side")).otherwise(F.col("other"))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, leaves = _tour(pdf)
+        found = set()
+        for _, _, _, lo, hi in nodes:
+            inside = hi - lo
+            if inside > 1 and len(leaves) - inside > 1:
+                side = sorted(leaves[lo:hi]) if 2 * inside <= len(leaves) else None
+                other = sorted(leaves[:lo] + leaves[hi:]) if 2 * inside >= len(leaves) else None
+                found.add(tuple(other if side is None else side if other is None else min(side, other)))
+        return pd.DataFrame({"msa_id": pd.Series([pdf["msa_id"].iloc[0]] * len(found), dtype=pdf["msa_id"].dtype), "split": pd.Series([list(x) for x in found], dtype=object)})
+
+    return _each(tree, build, f"split array<{tree.schema['node'].dataType.simpleString()}>")
+
+
+def project_splits(split_rows: DataFrame, taxa: DataFrame) -> DataFrame:
+    """Splits restricted to the leaves in ``taxa`` (``msa_id``, ``leaf``), for trees that share only some of theirs; those that become trivial go."""
+    every = taxa.groupBy(F.col("msa_id").alias("_m")).agg(F.array_sort(F.collect_set("leaf")).alias("every"))
+    both = split_rows.join(every, F.col("msa_id") == F.col("_m"))
+    both = both.withColumn("side", F.array_sort(F.array_intersect("split", "every"))).withColumn("other", F.array_sort(F.array_except("every", "split")))
+    least = F.when(F.struct(F.size("side"), "side") < F.struct(F.size("other"), "other"), F.col("side")).otherwise(F.col("other"))
     return both.where((F.size("side") > 1) & (F.size("other") > 1)).select("msa_id", least.alias("split")).distinct()
 
 
+def patristic_distances(tree: DataFrame) -> DataFrame:
+    """``msa_id``, ``i``, ``j`` (leaves, i < j) and ``d``, the path length between them; ``tree`` also has ``length``, each node's branch to its parent (null: 0)."""
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, leaves = _tour(pdf)
+        length = dict(zip(pdf["node"].tolist(), pdf["length"].fillna(0.0).tolist(), strict=True))
+        leaf, depth, meets = np.array(leaves), np.zeros(len(leaves)), []
+        next_of: dict = {}
+        # depth: length from each leaf up to the node that is looked at
+        for node, left, _, lo, hi in nodes:
+            if left >= 0:
+                mid = next_of[left]
+                a, b = np.meshgrid(np.arange(lo, mid), np.arange(mid, hi), indexing="ij")
+                meets.append((leaf[a.ravel()], leaf[b.ravel()], (depth[a] + depth[b]).ravel()))
+            next_of[node] = hi
+            depth[lo:hi] += length[node]
+        a, b, d = (np.concatenate([m[k] for m in meets]) if meets else np.empty(0) for k in range(3))
+        return pd.DataFrame({"msa_id": pd.Series([pdf["msa_id"].iloc[0]] * len(a), dtype=pdf["msa_id"].dtype), "i": np.minimum(a, b), "j": np.maximum(a, b), "d": d})
+
+    kind = tree.schema["node"].dataType.simpleString()
+    return _each(tree, build, f"i {kind}, j {kind}, d double")
+
+
 def robinson_foulds(a: DataFrame, b: DataFrame) -> DataFrame:
     """``msa_id``, ``shared``, ``rf``, ``rf_norm`` of two tables of splits."""
     x, y = a.withColumn("in_a", F.lit(1)), b.withColumn("in_b", F.lit(1))

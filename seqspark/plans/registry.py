@@ -297,6 +297,28 @@ def split_symdiff(spark, sf_dir):
     return tree.robinson_foulds(a, b).withColumn("rf_norm", F.round("rf_norm", 6))
 
 
+_PROJECTED = "list_sort(list_filter(split, lambda x: x % 3 <> 0))"
+
+
+@query(f"""WITH RECURSIVE {dv.sql_heap()}, {_splits_sql('t')},
+e AS (SELECT list_sort(list(node)) AS every FROM t WHERE l < 0 AND node % 3 <> 0),
+p AS (SELECT {_PROJECTED} AS side, list_sort(list_filter(every, lambda x: NOT list_contains(split, x))) AS other FROM st, e)
+SELECT DISTINCT array_to_string(CASE WHEN len(side) < len(other) OR (len(side) = len(other) AND side < other) THEN side ELSE other END, ',') AS split
+FROM p WHERE len(side) > 1 AND len(other) > 1""")
+def project_taxa(spark, sf_dir):
+    t = dv.heap_tree(spark, sf_dir)
+    shared = t.where("left < 0 AND node % 3 <> 0").select("msa_id", F.col("node").alias("leaf"))
+    return tree.project_splits(tree.splits(t), shared).select(F.array_join(F.transform("split", lambda x: x.cast("string")), ",").alias("split"))
+
+
+@query(f"""WITH RECURSIVE {dv.sql_heap()},
+up(leaf, node, far) AS (SELECT node, node, 0 FROM t WHERE l < 0 UNION ALL SELECT up.leaf, t.node, up.far + 1 + up.node % 4 FROM up JOIN t ON t.l = up.node OR t.r = up.node)
+SELECT a.leaf AS i, b.leaf AS j, CAST(min(a.far + b.far) AS DOUBLE) AS d FROM up a JOIN up b ON a.node = b.node AND a.leaf < b.leaf GROUP BY a.leaf, b.leaf""")
+def patristic_distance(spark, sf_dir):
+    t = dv.heap_tree(spark, sf_dir).withColumn("length", (1 + F.col("node") % 4).cast("double"))
+    return tree.patristic_distances(t).select("i", "j", "d")
+
+
 def _nj(spark, sf_dir):
     g = dv.groups(spark, sf_dir)
     first = g.groupBy("msa_id").agg(F.min("ord").alias("o"), F.count("*").alias("n"))

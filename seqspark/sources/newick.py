@@ -5,13 +5,24 @@ from __future__ import annotations
 import re
 
 
+def without_comments(text: str) -> str:
+    """The text outside square brackets, nested to any depth; brackets in quoted labels are text."""
+    out, depth, quoted = [], 0, False
+    for c in text:
+        if c == "'" and depth == 0:
+            quoted = not quoted
+        if c == "[" and not quoted:
+            depth += 1
+        elif c == "]" and depth:
+            depth -= 1
+        elif depth == 0:
+            out.append(c)
+    return "".join(out)
+
+
 def parse_newick(text: str) -> list[tuple[int, int, str]]:
     """(node, parent or -1, label) of each node, parents before children; comments and branch lengths are dropped."""
-    for _ in range(10):
-        text, n = re.subn(r"\[[^\[\]]*\]", "", text)
-        if not n:
-            break
-    tokens = re.findall(r"'(?:[^']|'')*'|[(),;]|:[^(),;]*|[^(),;:'\s]+", text)
+    tokens = re.findall(r"'(?:[^']|'')*'|[(),;]|:[^(),;]*|[^(),;:'\s]+", without_comments(text))
     nodes: list[list] = [[-1, ""]]
     at = 0
     for t in tokens:

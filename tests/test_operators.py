@@ -71,3 +71,33 @@ def test_bootstrap_is_the_reference(spark, monkeypatch):
         rng = random.Random(0)
         means = sorted(sum(rng.choice(v) for _ in v) / len(v) for _ in range(10_000))
         assert got[key] == (means[250], means[9750])
+
+
+def test_deep_trees(spark):
+    from seqspark.operators import tree
+
+    n = 1500  # a ladder: leaves 0 .. n-1, each inner node joins the one before and the next leaf
+    rows = [(1, k, -1, -1) for k in range(n)] + [(1, n + k, n + k - 1 if k else 0, k + 1) for k in range(n - 1)] + [(2, 7, -1, -1)]
+    t = spark.createDataFrame(rows, "msa_id long, node int, left int, right int")
+    levels = {(r.msa_id, r.node): r.level for r in tree.tree_levels(t).collect()}
+    assert levels[1, 2 * n - 2] == n - 1 and levels[1, 0] == 0 and levels[2, 7] == 0
+    found = {tuple(r.split) for r in tree.splits(t.where("msa_id = 2 or node >= 0")).collect()}
+    assert len(found) == n - 3 and (0, 1) in found and (n - 2, n - 1) in found
+    few = spark.createDataFrame([(1, [0, 1]), (1, [2, 3]), (1, [0, 1, 4])], "msa_id long, split array<int>")
+    taxa = spark.createDataFrame([(1, k) for k in (0, 1, 2, 4, 5)], "msa_id long, leaf int")
+    assert {tuple(r.split) for r in tree.project_splits(few, taxa).collect()} == {(0, 1), (2, 5)}
+
+
+def test_patristic(spark):
+    from seqspark.operators import tree
+
+    rows = [(1, 0, -1, -1, 1.0), (1, 1, -1, -1, 2.0), (1, 2, -1, -1, 4.0), (1, 3, 0, 1, 8.0), (1, 4, 3, 2, None)]
+    t = spark.createDataFrame(rows, "msa_id long, node int, left int, right int, length double")
+    assert {(r.i, r.j, r.d) for r in tree.patristic_distances(t).collect()} == {(0, 1, 3.0), (0, 2, 13.0), (1, 2, 14.0)}
+
+
+def test_newick_comments():
+    from seqspark.sources.newick import parse_newick
+
+    deep = "[" * 30 + "x" + "]" * 30
+    assert [r[2] for r in parse_newick(f"(a{deep}:1,'b[1]':2)r;")] == ["r", "a", "b[1]"]
