@@ -32,6 +32,8 @@ GROUP = 1 << 19
 #: Plain parts: no control characters, no white space but spaces and line ends, nothing beyond Latin Extended-A.
 _PLAIN = re.compile("[\n\x20-\x7e\xa1-\xac\xae-įı-ſ]*")
 _PARTS = re.compile("[ \n]*[^ \n]+|[ \n]+")
+#: The same parts of a text without two of these in a row, but line ends alone.
+_SINGLE = re.compile(" ?[^ \n]+|\n| ")
 #: Ends a word inside the merge engine; control characters are not plain, so no word holds it.
 _END = b"\x7f"
 
@@ -115,11 +117,10 @@ class Bpe:
             yield data[at:end]
             at = end + 4
 
-    def _learn(self, parts: set[str]) -> None:
-        """Brings the ids of all ``parts`` into the young table."""
-        new = parts.difference(self.young)
+    def _learn(self, new: set[str]) -> None:
+        """Brings the ids of ``new``, parts that the young table lacks, into it."""
         if len(self.young) + len(new) > REMEMBERED:
-            self.old, self.young, new = self.young, {}, parts
+            self.old, self.young = self.young, {}
         plain = []
         for p in new:
             found = self.old.get(p)
@@ -143,33 +144,41 @@ class Bpe:
             return None
         if "  " in text or "\n " in text or " \n" in text or "\n\n" in text:
             return _PARTS.findall(text)
-        out: list[str] = []
-        for line in text.split("\n"):
-            # a comma or full stop between a word and a space is a piece of its own
-            first, *parts = _COMMA.sub(" \x00 ", _STOP.sub(" \x01 ", line)).split(" ")
-            out.append(first)
-            out += [" " + p for p in parts]
-            out.append("\n")
-        out.pop()
-        return out
+        # a comma or full stop between a word and a space is a piece of its own
+        return _SINGLE.findall(_COMMA.sub(" \x00 ", _STOP.sub(" \x01 ", text)))
 
     def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of whole texts, no special tokens added, nothing cut off; null is empty."""
         k = 0
         while k < len(texts):
-            group, size = [], 0
+            group, size, missing = [], 0, []
+            known = self.young.get
             while k < len(texts) and (not group or size < GROUP):
                 text = texts[k] or ""
-                group.append((text, self._parts(text) if text else []))
+                parts = self._parts(text) if text else []
+                found, gaps = None, []
+                if parts is not None:
+                    found, at = list(map(known, parts)), -1
+                    for _ in range(found.count(None)):
+                        at = found.index(None, at + 1)
+                        gaps.append(at)
+                        missing.append(parts[at])
+                group.append((text, parts, found, gaps))
                 size += len(text)
                 k += 1
-            parts = set().union(*[p for _, p in group if p])
-            self._learn(parts)
+            new = set(missing)
+            self._learn(new)
             ids = self.young.__getitem__
-            for text, p in group:
-                yield self.by_library(text) if p is None else b"".join(map(ids, p))
-            for p in [p for p in parts if len(p) > LONGEST]:
-                del self.young[p]
+            for text, parts, found, gaps in group:
+                if found is None:
+                    yield self.by_library(text)
+                else:
+                    for at in gaps:
+                        found[at] = ids(parts[at])
+                    yield b"".join(found)
+            for p in new:
+                if len(p) > LONGEST:
+                    del self.young[p]
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_many([text]))

@@ -5,9 +5,11 @@ chunks, at places that depend on content only, so equal passages become equal
 chunks. A chunk is stored once, under the SHA-256 of its bytes, as
 little-endian 16-bit (or 32-bit) ids, compressed. Documents are recipes:
 their chunks' digests in order, in files by ascending document id. A manifest
-holds the Merkle root of every recipe file (over its documents' roots, which
-are over their chunks' digests) and one root over these; reading checks every
-chunk against its digest and every recipe against the manifest.
+holds the Merkle root of every recipe file (over its documents' ids, starts,
+lengths and roots, which are over their chunks' digests) and one root over
+these; reading checks every chunk against its digest and every recipe against
+the manifest. ``read_store`` without ``ids`` rebuilds no stream: it proves
+lengths and crcs, chunk by chunk; with ``ids`` it rebuilds them all.
 
 Files (Parquet, so that any store Spark can write to will do): ``data/kind=chunk``
 (digest, n, ids), ``recipes`` (doc_id, start, n_tokens, digests, file), ``manifest``.
@@ -20,7 +22,8 @@ joins its length and crc to the recipes; a document's crc is combined from its
 chunks' crcs, so no ids are shuffled.
 
 Edge cases. A null text is empty: its stream is the end id alone. Repeated rows
-are stored as documents of their own, in no set order among themselves. Texts
+are stored as documents of their own; rows with one id are ordered by a hash of
+their chunks, so that reruns agree. Texts
 of any length are taken whole. An empty table gives an empty store.
 """
 
@@ -47,7 +50,7 @@ def boundaries(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= LEAST:
         return [n] if n else []
-    h = mix64(ids.astype(np.uint64) + np.uint64(1))
+    h = _mixed(int(ids.max()))[ids]
     # a polynomial over ROLL ids in a row, from running sums
     up, down = _powers(n)
     sums = np.zeros(n + 1, np.uint64)
@@ -66,6 +69,16 @@ def boundaries(ids: np.ndarray) -> list[int]:
     return ends
 
 
+_table: list[np.ndarray] = [np.zeros(0, np.uint64)]
+
+
+def _mixed(most: int) -> np.ndarray:
+    """A hash of every id up to ``most`` at least."""
+    if len(_table[0]) <= most:
+        _table[0] = mix64(np.arange(1, most + 2, dtype=np.uint64))
+    return _table[0]
+
+
 _BASE = 0x5851F42D4C957F2D
 _kept: list[np.ndarray] = []
 
@@ -191,8 +204,8 @@ def write_store(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
     made = made.repartition(partitions, F.when(F.col("digest").isNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("digest"))).sortWithinPartitions("kind", "digest")
     made.mapInArrow(first_of, made.schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/data")
     # (a table without rows has no folder of its kind)
-    recipes = spark.read.schema(made.schema).parquet(f"{path}/data").where("kind = 'recipe'").select("doc_id", F.col("n").alias("n_tokens"), "digests")
-    recipes = running_total(recipes, ["doc_id"], "n_tokens", "start").repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "start")
+    recipes = spark.read.schema(made.schema).parquet(f"{path}/data").where("kind = 'recipe'").select("doc_id", F.col("n").alias("n_tokens"), "digests", F.xxhash64("digests").alias("_tie"))
+    recipes = running_total(recipes, ["doc_id", "_tie"], "n_tokens", "start").drop("_tie").repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "start")
     recipes.withColumn("file", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{path}/recipes")
     roots = file_roots(spark, path)
     files = [(r.file, r.root) for r in roots.orderBy("file").collect()]  # one for each recipe file
@@ -206,19 +219,19 @@ def file_roots(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, leaves, out = None, [], []
         for b in batches:
-            for file, doc, digests in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True):
+            for file, doc, start, n, digests in zip(*[b.column(k).to_pylist() for k in range(5)], strict=True):
                 if file != now:
                     if leaves:
                         out.append((now, merkle(leaves)))
                     now, leaves = file, []
-                leaves.append(repr(doc).encode() + merkle(digests))
+                leaves.append(repr((doc, start, n)).encode() + merkle(digests))
         if leaves:
             out.append((now, merkle(leaves)))
         yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in out], pa.int32()), pa.array([r for _, r in out], pa.binary())], names=["file", "root"])
 
-    recipes = spark.read.parquet(f"{path}/recipes").select("file", "doc_id", "digests", "start")
+    recipes = spark.read.parquet(f"{path}/recipes").select("file", "doc_id", "start", "n_tokens", "digests")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = recipes.repartition(n, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "start").select("file", "doc_id", "digests")
+    ordered = recipes.repartition(n, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "start")
     return ordered.mapInArrow(run, "file int, root binary")
 
 

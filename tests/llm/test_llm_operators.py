@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import shutil
 import zlib
 from collections import Counter, defaultdict
 
@@ -81,7 +82,7 @@ def test_bpe_is_the_library(name):
     path = public_tokenizers.path(name)
     assert bpe.prove_ranks(path)
     b, rng = bpe.Bpe(path), random.Random(1)
-    bits = ["a", " ", "b", "\n", "'s", "'ll", "É", "ß", "Σ", "İ", "1", "22", ".", "!!", "<|endoftext|>", "<|startoftext|>", "\t", "é", "日本", "\x1c", "ª", "²", "\u2003", "\xa0", "thou", "\x7f"]
+    bits = ["a", " ", "b", "\n", "'s", "'ll", "É", "ß", "Σ", "İ", "1", "22", ".", ",", ", ", "!!", "<|endoftext|>", "<|startoftext|>", "\t", "é", "日本", "\x1c", "ª", "²", "\u2003", "\xa0", "thou", "\x7f"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(1500)]
     for t, got in zip(texts, b.encode_many(texts), strict=True):
         assert got == b.by_library(t), t
@@ -241,6 +242,11 @@ def test_token_store(spark, docs, rows, empty):
         start += n
     stored = spark.read.parquet(f"{where}/data").where("kind = 'chunk'")
     assert stored.count() == stored.select("digest").distinct().count()
+    recipes = spark.read.parquet(f"{where}/recipes")
+    for column in ("start", "n_tokens"):
+        shutil.copytree(where, f"{where}-{column}", dirs_exist_ok=True)
+        recipes.withColumn(column, F.col(column) + 1).write.mode("overwrite").parquet(f"{where}-{column}/recipes")
+        assert not token_store.verify_store(spark, f"{where}-{column}")
     a, c = b"some bytes", b"and more of them"
     assert token_store.crc32_combine(zlib.crc32(a), zlib.crc32(c), len(c)) == zlib.crc32(a + c)
     token_store.write_store(empty, where + "-empty", path, 0)
