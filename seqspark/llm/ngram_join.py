@@ -8,17 +8,18 @@ search in the long lists. T is exact in integers, so no link is lost.
 
 Which sets meet in one index is found the same way, with L = T - 1: only the
 ``n - T + 1`` rarest tokens of a set are merged, and sets that share none of
-them cannot reach T. Rare is by a count sketch of all tokens (a fixed 2**21
-counters; any common order is right, a good one keeps frequent passages out).
-Sets in one token's list are chained into candidate groups where their
-histograms of leading token bytes, which bound the overlap from above, let them
-reach T (lists longer than 64 are chained unseen). Within a group all links come from the index; sets that are already connected are not
+them cannot reach T. Rare is by a count sketch of all tokens, whose counters
+grow with the text (2**21 to 2**27; any common order is right, a good one keeps
+frequent passages out). Sets in one token's list are chained into candidate groups where their
+bitmaps of token hashes, which bound the overlap from above, let them
+reach T (lists longer than 1024 are chained unseen). A bitmap has more bits than
+its set has tokens, so that long texts are told apart as well as short ones. Within a group all links come from the index; sets that are already connected are not
 compared again, so a group of k copies costs about k comparisons, not k**2.
 
 Scale. Texts shuffle once, and only to fetch the candidates. Equal sets fold
 into one class before any comparison. Tokens are combined on the map side, so
 a token of a third of all documents arrives as a few rows for each task. A
-group of more than ``GROUP_SHINGLES`` tokens is dealt into blocks that meet
+group of more than ``GROUP_SHINGLES`` tokens (or 1/2048 of all) is dealt into blocks that meet
 around one pivot; only sets not linked to the pivot then visit the other
 blocks. Groups, links and components stay distributed; the driver sees counts
 and the sketch.
@@ -45,13 +46,18 @@ from seqspark.llm.common import discard, materialize, mix64, released, row_key
 from seqspark.llm.graph import components
 from seqspark.llm.words import hashed
 
-SKETCH_BITS, BLOCK_BITS = 21, 16
-#: Tokens that one task compares at once; a larger group is dealt into blocks.
-GROUP_SHINGLES = 1 << 16
+#: Least and most counters of the sketch, and those of a block, as powers of 2; bytes of text for each counter.
+SKETCH_BITS, MOST_BITS, BLOCK_BITS, COUNTER_BYTES = 21, 27, 16, 256
+#: Positions in the sketch that a task sorts at a time.
+COUNTED = 1 << 22
+#: Tokens that one task compares at once; a larger group is dealt into blocks. A block grows with the input, to the second number.
+GROUP_SHINGLES, MOST_SHINGLES = 1 << 16, 1 << 20
+#: Least and most bits of a set's bitmap.
+LEAST_MAP, MOST_MAP = 1 << 8, 1 << 17
 #: Prefix tokens that a map task combines at a time.
 COMBINED = 1 << 19
 #: Longer lists of sets with a common token are joined unseen; shorter ones are pruned first.
-LISTED = 64
+LISTED = 1024
 #: DivideSkip's weight of a merge step against a probe.
 MU = 0.0085
 
@@ -68,10 +74,52 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(out)
 
 
-def histogram(tokens: np.ndarray) -> bytes:
-    """How many tokens have each leading byte: two sets share no more than the sum of the smaller counts."""
-    counts = np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=256)
-    return counts.astype("<u4" if len(tokens) > 65535 else "<u2").tobytes()
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Which values the low bits of the tokens take; bits enough for at least 1.25 a token, but for very long texts."""
+    m = LEAST_MAP
+    while 4 * m < 5 * len(tokens) and m < MOST_MAP:
+        m *= 2
+    seen = np.zeros(m, dtype=bool)
+    seen[(tokens & np.uint64(m - 1)).astype(np.int64)] = True
+    return np.packbits(seen, bitorder="little").tobytes()
+
+
+def _folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) of fewer low bits."""
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] | maps[:, half:]
+    return maps
+
+
+def spanning(maps: list[bytes], sizes: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """Links (by position) that connect all sets which, by their bitmaps, may be of similarity num / den, directly or through others.
+
+    A bit that only one of two maps has is a token that the other set lacks.
+    """
+    n, words = np.array(sizes, dtype=np.int64), np.array([len(x) // 8 for x in maps])
+    rows = {w: np.stack([np.frombuffer(x, "<u8") for x in maps if len(x) == 8 * w]) for w in set(words.tolist())}
+    place = np.empty(len(maps), dtype=np.int64)
+    for w in rows:
+        place[words == w] = np.arange(len(rows[w]))
+    out, rest = [], np.arange(len(maps))
+    while len(rest) > 1:
+        edge, rest = [int(rest[0])], rest[1:]
+        while edge and len(rest):
+            f = edge.pop()
+            alike = den * np.minimum(n[rest], n[f]) >= num * np.maximum(n[rest], n[f])
+            for w in set(words[rest[alike]].tolist()):
+                at = np.flatnonzero(alike & (words[rest] == w))
+                k = rest[at]
+                least = min(w, int(words[f]))
+                x, y = _folded(rows[int(words[f])][place[f]][None, :], least), _folded(rows[w][place[k]], least)
+                shared = np.minimum(n[f] - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), n[k] - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+                alike[at] = (num + den) * shared >= num * (n[f] + n[k])
+            found = rest[alike].tolist()
+            out.extend((f, k) for k in found)
+            edge.extend(found)
+            rest = rest[~alike]
+    return out
 
 
 def least_overlap(n: int, num: int, den: int) -> int:
@@ -171,64 +219,66 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _survey(df: DataFrame, size: int) -> DataFrame:
-    """Of each row its id, set size and 128-bit set hash; of each task its token counts, in compressed blocks."""
+def _survey(df: DataFrame, size: int, bits: int) -> DataFrame:
+    """Of each row its id, set size, 128-bit set hash and bitmap; of each task the places of its tokens in a sketch of 2**bits counters, in compressed blocks."""
     from xxhash import xxh3_128_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+        names = ["doc_id", "n", "s1", "s2", "map", "block", "counts", "no_id"]
         held, n_held = [], 0
 
-        def add() -> None:
+        def counted() -> pa.RecordBatch:
             nonlocal held, n_held
-            if held:
-                counts[:] += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+            at = np.sort(np.concatenate(held)) if held else np.empty(0, np.uint32)
             held, n_held = [], 0
+            block = (at >> np.uint32(BLOCK_BITS)).astype(np.int64)
+            first = np.flatnonzero(np.diff(block, prepend=-1))
+            steps = np.diff(at, prepend=np.uint32(0)).astype("<u2")
+            steps[first] = at[first].astype("<u2")  # the place in its block, then steps
+            packed = [zlib.compress(x.tobytes(), 1) for x in np.split(steps, first[1:])] if len(at) else []
+            none = pa.nulls(len(first), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(first), pa.binary()), pa.array(block[first], pa.int32()), pa.array(packed, pa.binary()), pa.nulls(len(first), pa.bool_())], names=names)
 
         for b in batches:
-            n, s, hist = [], [], []
+            n, s, maps = [], [], []
             for words in hashed(b.column(1), lower=True):
                 x = shingles(words, size)
                 n.append(len(x))
-                hist.append(histogram(x))
+                maps.append(bitmap(x))
                 s.append(xxh3_128_digest(x.tobytes()))
-                held.append(x)
+                held.append((x >> np.uint64(64 - bits)).astype(np.uint32))
                 n_held += len(x)
-                if n_held > COMBINED:
-                    add()
             halves = np.frombuffer(b"".join(s), dtype="<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(hist, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary()), b.column(2)], names=["doc_id", "n", "s1", "s2", "hist", "block", "counts", "no_id"]
+                [b.column(0), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(maps, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary()), b.column(2)], names=names
             )
-        add()
-        k = [k for k in range(1 << (SKETCH_BITS - BLOCK_BITS)) if counts[k << BLOCK_BITS : (k + 1) << BLOCK_BITS].any()]
-        packed = [zlib.compress(counts[i << BLOCK_BITS : (i + 1) << BLOCK_BITS].astype("<u4").tobytes(), 1) for i in k]
-        none = pa.nulls(len(k), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(k), pa.binary()), pa.array(k, pa.int32()), pa.array(packed, pa.binary()), pa.nulls(len(k), pa.bool_())], names=["doc_id", "n", "s1", "s2", "hist", "block", "counts", "no_id"])
+            if n_held > COUNTED:
+                yield counted()
+        yield counted()
 
-    return df.mapInArrow(released(run), "doc_id long, n long, s1 long, s2 long, hist binary, block int, counts binary, no_id boolean")
+    return df.mapInArrow(released(run), "doc_id long, n long, s1 long, s2 long, map binary, block int, counts binary, no_id boolean")
 
 
-def _levels(survey: DataFrame) -> np.ndarray:
-    """A byte for each counter of the sketch: the logarithm of how often its tokens occur (2**21 bytes at any input size)."""
+def _levels(survey: DataFrame, bits: int, partitions: int) -> np.ndarray:
+    """A byte for each of the 2**bits counters of the sketch: the logarithm of how often its tokens occur."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(zlib.decompress(c), dtype="<u4").astype(np.uint64)
+                x = np.bincount(np.cumsum(np.frombuffer(zlib.decompress(c), dtype="<u2"), dtype=np.int64), minlength=1 << BLOCK_BITS).astype(np.uint32)
                 sums[k] = sums[k] + x if k in sums else x
-        out = {k: (4 * np.log2(v + 1.0)).astype(np.uint8).tobytes() for k, v in sums.items()}
+        out = {k: zlib.compress((4 * np.log2(v + 1.0)).astype(np.uint8).tobytes(), 1) for k, v in sums.items()}
         yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array(list(out.values()), pa.binary())], names=["block", "levels"])
 
-    levels = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
-    merged = survey.where("block is not null").select("block", "counts").repartition(1 << (SKETCH_BITS - BLOCK_BITS), "block").mapInArrow(add, "block int, levels binary")
+    levels = np.zeros(1 << bits, dtype=np.uint8)
+    merged = survey.where("block is not null").select("block", "counts").repartition(min(partitions, 1 << (bits - BLOCK_BITS)), "block").mapInArrow(add, "block int, levels binary")
     for r in merged.collect():
-        levels[r.block << BLOCK_BITS : (r.block + 1) << BLOCK_BITS] = np.frombuffer(r.levels, dtype=np.uint8)
+        levels[r.block << BLOCK_BITS : (r.block + 1) << BLOCK_BITS] = np.frombuffer(zlib.decompress(r.levels), dtype=np.uint8)
     return levels
 
 
-def _prefixes(df: DataFrame, size: int, num: int, den: int, levels) -> DataFrame:
+def _prefixes(df: DataFrame, size: int, num: int, den: int, levels, bits: int) -> DataFrame:
     """(token, class) of every class's rarest tokens, and (null, class, class) where a task has joined classes itself."""
     from xxhash import xxh3_128_digest
 
@@ -268,7 +318,7 @@ def _prefixes(df: DataFrame, size: int, num: int, den: int, levels) -> DataFrame
                     seen.clear()
                 seen.add(key)
                 k = len(x) - least_overlap(len(x), num, den) + 1
-                tokens.append(x[np.argsort(level[(x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:k]])
+                tokens.append(x[np.argsort(level[(x >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")[:k]])
                 owners.append((key, k))
                 n_held += k
                 if n_held >= COMBINED:
@@ -280,44 +330,34 @@ def _prefixes(df: DataFrame, size: int, num: int, den: int, levels) -> DataFrame
 
 
 def _pruned(lists: DataFrame, sets: DataFrame, num: int, den: int, partitions: int) -> DataFrame:
-    """(s1, other): spanning links of the sets in each list whose histograms let them reach the similarity, directly or through others of the list."""
+    """(s1, other): spanning links of the sets in each list whose bitmaps let them reach the similarity, directly or through others of the list."""
     members = materialize(lists.select(F.xxhash64("list").alias("id"), F.explode("list").alias("m")), "lists")
     need = members.select(F.col("m").alias("s1")).distinct()
-    facts = sets.join(need, "s1", "left_semi").dropDuplicates(["s1", "s2"]).select("s1", "n", "hist")
+    facts = sets.join(need, "s1", "left_semi").dropDuplicates(["s1", "s2"]).select("s1", "n", "map")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sizes, hists = None, [], [], []
-        out: list[tuple[int, int]] = []
-
-        def spanning() -> None:
-            h = np.stack([np.frombuffer(x, "<u2" if len(x) == 512 else "<u4").astype(np.int64) for x in hists])
-            n, rest = np.array(sizes), np.arange(len(ids))
-            while len(rest) > 1:
-                edge, rest = [rest[0]], rest[1:]
-                while edge and len(rest):
-                    f = edge.pop()
-                    near = (num + den) * np.minimum(h[rest], h[f]).sum(axis=1) >= num * (n[rest] + n[f])
-                    out.extend((ids[f], ids[k]) for k in rest[near])
-                    edge.extend(rest[near])
-                    rest = rest[~near]
+        now, ids, sizes, maps = None, [], [], []
+
+        def links() -> list[tuple[int, int]]:
+            return [(ids[a], ids[b]) for a, b in spanning(maps, sizes, num, den)] if len(ids) > 1 else []
+
+        def told(out: list[tuple[int, int]]) -> pa.RecordBatch:
+            pairs = list(dict.fromkeys(out))
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["s1", "other"])
 
         for b in batches:
-            for key, m, n, hist in zip(*[b.column(k).to_pylist() for k in range(4)], strict=True):
+            out: list[tuple[int, int]] = []
+            for key, m, n, x in zip(*[b.column(k).to_pylist() for k in range(4)], strict=True):
                 if key != now:
-                    if len(ids) > 1:
-                        spanning()
-                    now, ids, sizes, hists = key, [], [], []
+                    out += links()
+                    now, ids, sizes, maps = key, [], [], []
                 ids.append(m)
                 sizes.append(n)
-                hists.append(hist)
-            pairs = list(dict.fromkeys(out))
-            out.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["s1", "other"])
-        if len(ids) > 1:
-            spanning()
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["s1", "other"])
+                maps.append(x)
+            yield told(out)
+        yield told(links())
 
-    rows = members.join(facts, F.col("m") == F.col("s1")).select("id", "m", "n", "hist")
+    rows = members.join(facts, F.col("m") == F.col("s1")).select("id", "m", "n", "map")
     return rows.repartition(partitions, "id").sortWithinPartitions("id").mapInArrow(released(run), "s1 long, other long")
 
 
@@ -348,22 +388,27 @@ def _grouped_links(members: DataFrame, keys: list[str], size: int, num: int, den
     return members.repartition(partitions, *keys).sortWithinPartitions(*keys).mapInArrow(released(run), "doc_id long, root long")
 
 
-def ngram_jaccard_components(df: DataFrame, size: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+def ngram_jaccard_components(df: DataFrame, size: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", group_shingles: int | None = None) -> DataFrame:
     """One row for each row: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest id reachable by links of similarity num / den or more)."""
     out = keyed_components(df, size, num, den, id_col, text_col, group_shingles)
     return out.select(F.when(~F.col("no_id"), F.col("key")).alias("doc_id"), "n_shingles", F.when(~F.col("root_no_id"), F.col("root")).alias("component_id"))
 
 
-def keyed_components(df: DataFrame, size: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+def keyed_components(df: DataFrame, size: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", group_shingles: int | None = None) -> DataFrame:
     """One row for each row: ``key`` (``row_key``), ``no_id``, ``n_shingles``, ``root`` (a key of its component: the smallest id, else the smallest key), ``root_no_id``."""
     spark = df.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(row_key(F.col(id_col), F.col(text_col)).alias("doc_id"), F.col(text_col).alias("text"), F.col(id_col).isNull().alias("no_id"))
-    survey = materialize(_survey(docs, size), "survey")
+    text_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    bits = min(MOST_BITS, max(SKETCH_BITS, (text_bytes // COUNTER_BYTES).bit_length()))
+    survey = materialize(_survey(docs, size, bits), "survey")
     sets = survey.where("block is null").select("doc_id", "n", "s1", "s2", "no_id")
     docs = docs.drop("no_id")
-    levels = spark.sparkContext.broadcast(_levels(survey))
-    rows = materialize(_prefixes(docs.select("text"), size, num, den, levels), "prefixes")
+    levels = spark.sparkContext.broadcast(_levels(survey, bits, partitions))
+    if group_shingles is None:
+        group_shingles = min(MOST_SHINGLES, max(GROUP_SHINGLES, (sets.agg(F.sum("n")).first()[0] or 0) >> 11))
+    rows = materialize(_prefixes(docs.select("text"), size, num, den, levels, bits), "prefixes")
+    levels.unpersist()
 
     by_token = Window.partitionBy("token")
     shared = rows.where("token is not null").select("token", "s1", F.min("s1").over(by_token).alias("other"), F.count("*").over(by_token).alias("c"), F.max("hot").over(by_token).alias("hot")).where("c > 1")

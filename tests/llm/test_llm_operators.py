@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from seqspark.llm import bpe, packing, suffix_dedup, substring_dedup, token_store, words
+from seqspark.llm import bpe, ngram_join, packing, suffix_dedup, substring_dedup, token_store, words
 from seqspark.llm.common import shared_dir
 from seqspark.llm.ngram_join import ngram_jaccard_components
 from seqspark.llm.quality_rules import quality_filter, quality_rules
@@ -119,6 +119,40 @@ def test_ngram_join(docs, rows, empty, size, num, den, group):
     assert ngram_jaccard_components(empty, size, num, den).count() == 0
 
 
+def test_bitmaps_bound_the_overlap():
+    rng = np.random.default_rng(3)
+    fresh = lambda n: words.mix64(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+    long_ = [fresh(7500) for _ in range(6)]  # of unrelated long texts none may pass
+    assert ngram_join.spanning([ngram_join.bitmap(x) for x in long_], [len(x) for x in long_], 4, 5) == []
+    for num, den in ((9, 10), (4, 5)):
+        sets = [fresh(n) for n in (1, 7, 90, 205, 1000, 4000, 9000)]
+        sets += [np.concatenate([x[: int(len(x) * share)], fresh(int(len(x) * more))]) for x in sets for share, more in ((1, 0.2), (0.9, 0), (0.95, 0.02), (0.5, 0.5))]
+        parent = list(range(len(sets)))
+        for a, b in ngram_join.spanning([ngram_join.bitmap(x) for x in sets], [len(x) for x in sets], num, den):
+            parent = [parent[a] if p == parent[b] else p for p in parent]
+        for k, x in enumerate(sets):
+            for j, y in enumerate(sets[:k]):
+                both = len(np.intersect1d(x, y))
+                assert den * both < num * (len(x) + len(y) - both) or parent[k] == parent[j]
+
+
+def test_passages_of_many_texts_join_no_groups(spark, monkeypatch):
+    rng = random.Random(2)
+    passages = [" ".join(f"p{k}x{j}" for j in range(40)) for k in range(40)]
+    rows = [(k, " ".join(rng.sample(passages, 10))) for k in range(400)]  # each passage in about 100 texts
+    rows += [(400, rows[7][1] + " end"), (401, None)]
+    held, write = {}, ngram_join.materialize
+
+    def kept(df, name):
+        out = write(df, name)
+        held[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", kept)
+    got = sorted(tuple(r) for r in ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 4, 5).collect())
+    assert got == _components(rows, 5, 4, 5) and held["candidates"] < 40
+
+
 def test_word_windows(docs, rows, empty):
     assert substring_dedup.is_cover(substring_dedup.COVER, substring_dedup.PERIOD)
     n = 35
