@@ -5,10 +5,14 @@ A tree is a table ``msa_id``, ``node``, ``left``, ``right`` (leaves have -1, -1)
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from seqspark.kernels import neighbour_joining
 
@@ -95,27 +99,68 @@ def project_splits(split_rows: DataFrame, taxa: DataFrame) -> DataFrame:
     return both.where((F.size("side") > 1) & (F.size("other") > 1)).select("msa_id", least.alias("split")).distinct()
 
 
+#: Pairs of leaves that a part of a tree's distances has, but for one leaf with more; pairs in a batch.
+PART_PAIRS, BATCH_PAIRS = 1 << 22, 1 << 17
+_STEP = np.dtype([("node", "<i8"), ("lo", "<i4"), ("mid", "<i4"), ("hi", "<i4"), ("length", "<f8")])
+
+
+def _meets(steps: np.ndarray, begin: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(leaf, later leaf, path length) of all pairs whose first leaf has a place from ``begin`` to ``end``, a few at a time; ``steps`` is a tour with ``mid`` 0 at leaves."""
+    leaf = steps["node"][steps["mid"] == 0]
+    depth = np.zeros(len(leaf))  # length from each leaf up to the node that is looked at
+    for _, lo, mid, hi, length in steps[steps["hi"] > begin].tolist():
+        if mid:
+            first, stop = max(lo, begin), min(mid, end)
+            while first < stop:
+                last = min(stop, first + max(1, BATCH_PAIRS // (hi - mid)))
+                for at in range(mid, hi, BATCH_PAIRS):
+                    to = min(hi, at + BATCH_PAIRS)
+                    yield np.repeat(leaf[first:last], to - at), np.tile(leaf[at:to], last - first), np.add.outer(depth[first:last], depth[at:to]).ravel()
+                first = last
+        depth[lo:hi] += length
+
+
 def patristic_distances(tree: DataFrame) -> DataFrame:
-    """``msa_id``, ``i``, ``j`` (leaves, i < j) and ``d``, the path length between them; ``tree`` also has ``length``, each node's branch to its parent (null: 0)."""
+    """``msa_id``, ``i``, ``j`` (leaves, i < j) and ``d``, the path length between them; ``tree`` also has ``length``, each node's branch to its parent (null: 0).
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+    One task tours a tree; its pairs, the square of its leaves, are dealt out in parts that stream.
+    """
+
+    def tour(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes, leaves = _tour(pdf)
         length = dict(zip(pdf["node"].tolist(), pdf["length"].fillna(0.0).tolist(), strict=True))
-        leaf, depth, meets = np.array(leaves), np.zeros(len(leaves)), []
-        next_of: dict = {}
-        # depth: length from each leaf up to the node that is looked at
-        for node, left, _, lo, hi in nodes:
-            if left >= 0:
-                mid = next_of[left]
-                a, b = np.meshgrid(np.arange(lo, mid), np.arange(mid, hi), indexing="ij")
-                meets.append((leaf[a.ravel()], leaf[b.ravel()], (depth[a] + depth[b]).ravel()))
-            next_of[node] = hi
-            depth[lo:hi] += length[node]
-        a, b, d = (np.concatenate([m[k] for m in meets]) if meets else np.empty(0) for k in range(3))
-        return pd.DataFrame({"msa_id": pd.Series([pdf["msa_id"].iloc[0]] * len(a), dtype=pdf["msa_id"].dtype), "i": np.minimum(a, b), "j": np.maximum(a, b), "d": d})
+        ends = {node: hi for node, _, _, _, hi in nodes}
+        steps = np.array([(node, lo, ends[left] if left >= 0 else 0, hi, length[node]) for node, left, _, lo, hi in nodes], dtype=_STEP)
+        later = np.arange(len(leaves) - 1, -1, -1, dtype=np.int64)
+        begins = np.flatnonzero(np.diff((np.cumsum(later) - later) // PART_PAIRS, prepend=-1)).tolist()
+        parts = list(zip(begins, [*begins[1:], len(leaves)], strict=True))
+        return pd.DataFrame({"msa_id": pdf["msa_id"].iloc[:1].to_numpy(), "steps": [steps.tobytes()], "begins": [[x for x, _ in parts]], "ends": [[x for _, x in parts]]}).astype({"msa_id": pdf["msa_id"].dtype})
+
+    node_type, id_type = (to_arrow_type(tree.schema[c].dataType) for c in ("node", "msa_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                msa, held, n = b.column(0)[k].as_py(), [], 0
+
+                def joined() -> pa.RecordBatch:
+                    x, y, d = (np.concatenate([h[c] for h in held]) for c in range(3))  # noqa: B023
+                    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(msa, id_type), len(d)), pa.array(np.minimum(x, y)).cast(node_type), pa.array(np.maximum(x, y)).cast(node_type), pa.array(d)], names=["msa_id", "i", "j", "d"])  # noqa: B023
+
+                for meet in _meets(np.frombuffer(b.column(1)[k].as_py(), _STEP), b.column(2)[k].as_py(), b.column(3)[k].as_py()):
+                    held.append(meet)
+                    n += len(meet[2])
+                    if n >= BATCH_PAIRS:
+                        yield joined()
+                        held, n = [], 0
+                if held:
+                    yield joined()
 
     kind = tree.schema["node"].dataType.simpleString()
-    return _each(tree, build, f"i {kind}, j {kind}, d double")
+    parts = _each(tree, tour, "steps binary, begins array<int>, ends array<int>").select("msa_id", "steps", F.explode(F.arrays_zip("begins", "ends")).alias("part"))
+    dealt = parts.select("msa_id", "steps", F.col("part.begins").alias("begin"), F.col("part.ends").alias("end"))
+    dealt = dealt.repartition(int(tree.sparkSession.conf.get("spark.sql.shuffle.partitions")), "msa_id", "begin")
+    return dealt.mapInArrow(run, f"msa_id {tree.schema['msa_id'].dataType.simpleString()}, i {kind}, j {kind}, d double")
 
 
 def robinson_foulds(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from seqspark.functions import cigar as cg
@@ -96,6 +97,40 @@ def test_patristic(spark):
     assert {(r.i, r.j, r.d) for r in tree.patristic_distances(t).collect()} == {(0, 1, 3.0), (0, 2, 13.0), (1, 2, 14.0)}
 
 
+def test_patristic_in_parts(spark, monkeypatch):
+    from seqspark.operators import tree
+
+    monkeypatch.setattr(tree, "PART_PAIRS", 50)
+    rng, live, rows = random.Random(4), list(range(60)), [(1, k, -1, -1, k % 5 + 0.5) for k in range(60)]
+    up = {}
+    for node in range(60, 119):
+        a, b = (live.pop(rng.randrange(len(live))) for _ in range(2))
+        up |= {a: node, b: node}
+        live.append(node)
+        rows.append((1, node, a, b, float(node % 3)))
+    rows += [(2, 0, -1, -1, 1.0), (3, 5, -1, -1, 1.5), (3, 2, -1, -1, 2.0), (3, 9, 5, 2, None)]
+    far = {r[1]: r[4] for r in rows if r[0] == 1}
+
+    def above(k):
+        out, d = {}, 0.0
+        while k is not None:
+            out[k], d, k = d, d + far[k], up.get(k)
+        return out
+
+    want = {(3, 2, 5, 3.5)}
+    for j in range(60):
+        for i in range(j):
+            x, y = above(i), above(j)
+            want.add((1, i, j, min(x[k] + y[k] for k in x if k in y)))
+    out = tree.patristic_distances(spark.createDataFrame(rows, "msa_id long, node int, left int, right int, length double"))
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want)
+    # one part of a tree makes small batches only
+    steps = np.array([(k, k, 0, k + 1, 1.0) for k in range(3000)] + [(3000, 0, 1500, 3000, 0.0)], dtype=tree._STEP)
+    sizes = [len(d) for *_, d in tree._meets(steps, 0, 3000)]
+    assert sum(sizes) == 1500 * 1500 and max(sizes) <= tree.BATCH_PAIRS
+
+
 def test_newick_comments():
     from seqspark.sources.newick import parse_newick
 
